@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney over a fixed alphabet of byte classes.
 
-Text is read as UTF-8 bytes in 64 classes (letters with case, digits, common marks, white space, groups of non-ASCII
-bytes; 0 is the border of a text). An n-gram of classes is a number of 6 * n bits, which serves as its hash without
-collisions, so a model of order n has at most 64 ** n entries per language whatever the size of the corpus. That bound
+Text is read as UTF-8 bytes in 32 classes (26 letters without case, digits, white space, two groups of marks, bytes over
+127; 0 is the border of a text). An n-gram of classes is a number of 5 * n bits, which serves as its hash without
+collisions, so a model of order n has at most 32 ** n entries per language whatever the size of the corpus. That bound
 is why the unit is the byte class and not the word: a word model grows with the corpus and could not be broadcast.
 
 A model needs only the counts of its highest order. Lower orders count the distinct left neighbours of their n-grams.
@@ -13,37 +13,27 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 6
+BITS = 5
 CLASSES = 1 << BITS
+#: Up to so many n-grams, counts and probabilities are looked up in a table of all of them.
+DENSE = 1 << 20
 
 
 def class_table() -> np.ndarray:
-    """Byte -> class 1..63: a-z, A-Z, then digits, line ends, other white space, five marks by themselves, other marks, bytes over 127."""
+    """Byte -> class 1..31."""
     t = np.zeros(256, np.uint8)
     for b in range(256):
-        c = chr(b)
-        if "a" <= c <= "z":
-            t[b] = 1 + b - 97
-        elif "A" <= c <= "Z":
-            t[b] = 27 + b - 65
-        elif b >= 0xC0:
-            t[b] = 60
-        elif b >= 0x80:
-            t[b] = 61 + b % 3
+        c = chr(b).lower()
+        if b >= 128:
+            t[b] = 31
+        elif "a" <= c <= "z":
+            t[b] = 1 + ord(c) - 97
         elif c.isdigit():
-            t[b] = 53
-        elif c == "\n":
-            t[b] = 54
-        elif c in " \t\r\x0b\x0c":
-            t[b] = 55
-        elif c == ".":
-            t[b] = 56
-        elif c == ",":
-            t[b] = 57
-        elif c in "!?;:'\"-()":
-            t[b] = 58
+            t[b] = 27
+        elif c in " \t\r\n\x0b\x0c":
+            t[b] = 28
         else:
-            t[b] = 59
+            t[b] = 29 if c in ".," else 30
     return t
 
 
@@ -73,7 +63,7 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     if min(n) == 0:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
+    return np.clip(np.array([0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
 
 
 class Model:
@@ -140,8 +130,8 @@ class Model:
         return m
 
     def log2p(self, g: np.ndarray) -> np.ndarray:
-        """log2 P of each n-gram's last class. Up to order 3 through a table of all n-grams, made at the first call."""
-        if self.order > 3:
+        """log2 P of each n-gram's last class. Through a table of all n-grams, made at the first call, where DENSE allows it."""
+        if 1 << BITS * self.order > DENSE:
             return self._lookup(self.order, g)
         if getattr(self, "_all", None) is None:
             self._all = self._lookup(self.order, np.arange(1 << BITS * self.order, dtype=np.uint32))
@@ -158,11 +148,11 @@ def scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Counter:
-    """Counts of n-grams with a bounded table: dense up to order 3, else merged sorted arrays."""
+    """Counts of n-grams in a bounded table: dense where DENSE allows it, else merged sorted arrays."""
 
     def __init__(self, order: int):
         self.order, self.grams, self.counts, self.loose = order, np.zeros(0, np.uint32), np.zeros(0, np.int64), []
-        self.dense = np.zeros(1 << BITS * order, np.int64) if order <= 3 else None
+        self.dense = np.zeros(1 << BITS * order, np.int64) if 1 << BITS * order <= DENSE else None
 
     def add(self, raw: np.ndarray, offsets: np.ndarray) -> None:
         g = codes(raw, offsets, self.order)[0]
