@@ -2,7 +2,7 @@
 
 1. A page becomes text lines, one per block, each with its zone: `main` inside <article> or <main>, else `loose`. Menus,
    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are no lines at all.
-2. Pages of a host that share directory and first two characters of the file name are ordered by path; a page is paired
+2. Pages of a host that share directory and first character of the file name are ordered by path; a page is paired
    with the neighbour that has the longer common path prefix (the one before it, if equal).
 3. Loose lines of the pair are aligned by longest common subsequence, and the shared ones are deleted: what two
    neighbours repeat in the same order is the site's frame. Main lines are kept, since the article itself may be
@@ -156,8 +156,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([p[0] for p in parsed], pa.list_(pa.string())), pa.array([p[1] for p in parsed], pa.list_(pa.bool_())), pa.array(loose, pa.list_(pa.string()))], names=["page_id", "url", "host", "path", "lines", "main", "loose"])
 
     parsed = d.mapInArrow(parse, "page_id long, url string, host string, path string, lines array<string>, main array<boolean>, loose array<string>")
-    near = W.partitionBy("host", "_dir", "_two").orderBy("path", "page_id")
-    parsed = parsed.withColumn("_dir", F.regexp_extract("path", r"^(.*/)", 1)).withColumn("_two", F.substring(F.regexp_extract("path", r"([^/]*)/?$", 1), 1, 2))
+    near = W.partitionBy("host", "_dir", "_initial").orderBy("path", "page_id")
+    parsed = parsed.withColumn("_dir", F.regexp_extract("path", r"^(.*/)", 1)).withColumn("_initial", F.substring(F.regexp_extract("path", r"([^/]*)/?$", 1), 1, 1))
     paired = parsed.select("page_id", "url", "path", "lines", "main", F.lag("path").over(near).alias("p1"), F.lag("loose").over(near).alias("l1"), F.lead("path").over(near).alias("p2"), F.lead("loose").over(near).alias("l2"))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
