@@ -1,5 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "distance_matched_auroc"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
