@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,22 +20,18 @@ def matched_controls(df: DataFrame, strata: list[str], key: str, gene: str, posi
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pos, con = pdf[pdf.p].sort_values("k"), pdf[~pdf.p].sort_values(["h", "k"]).reset_index(drop=True)
-        near = {}
-        for r in pos.itertuples(index=False):
-            ok = pd.Series(True, index=con.index)
-            for c in names:
-                ok &= (con[c] - getattr(r, c)).abs() <= covariates[c]
-            near[r.k] = con.index[ok].tolist()
-        used: set[int] = set()
-        out = []
-        for r in sorted(pos.itertuples(index=False), key=lambda r: (len(near[r.k]), r.h, r.k)):
-            chosen: list[int] = []
-            for same, again in ((True, False), (False, False), (True, True), (False, True)):
-                for i in near[r.k]:
-                    if len(chosen) < k and i not in chosen and (i in used) == again and (not same or con.g[i] == r.g):
-                        chosen.append(i)
-            out += [(*(pdf[s].iloc[0] for s in strata), r.k, con.k[i], n + 1, bool(con.g[i] == r.g), i in used) for n, i in enumerate(chosen)]
-            used |= set(chosen)
+        values, genes, names_of = con[names].to_numpy(), con.g.to_numpy(), con.k.to_numpy()
+        calipers, rows = np.array([covariates[c] for c in names]), pos[names].to_numpy()
+        near = [np.flatnonzero((np.abs(values - v) <= calipers).all(1)) for v in rows]
+        used, out, stratum = np.zeros(len(con), bool), [], tuple(pdf[s].iloc[0] for s in strata)
+        keys, own, order = pos.k.to_numpy(), pos.g.to_numpy(), pos.h.to_numpy()
+        for at in sorted(range(len(pos)), key=lambda i: (len(near[i]), order[i], keys[i])):
+            c = near[at]
+            # Passes: unused of the same gene, unused, reused of the same gene, reused; a stable sort keeps the hash order in each.
+            tier = 2 * used[c] + (genes[c] != own[at])
+            chosen = c[np.argsort(tier, kind="stable")[:k]]
+            out += [(*stratum, keys[at], names_of[i], n + 1, bool(genes[i] == own[at]), bool(used[i])) for n, i in enumerate(chosen)]
+            used[chosen] = True
         return pd.DataFrame(out, columns=[*strata, "positive", "control", "rank", "same_gene", "reused"])
 
     return d.groupBy(*strata).applyInPandas(match, f"{types}, positive {kind}, control {kind}, rank int, same_gene boolean, reused boolean")
