@@ -162,7 +162,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int =
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: int) -> DataFrame:
-    """The rows of docs, one of each component: that with its id. Rows with null doc_id whose component has no id stay."""
-    first = near_duplicates(docs, doc_id=doc_id, text=text, **more).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_first")).distinct()
-    kept = docs.join(first, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")) == F.col("_first"), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """The rows of docs, one of each component: that with its id; of rows that repeat this id, one. Where a component has
+    no id at all, its rows stay, one of each text."""
+    none = F.lit(-(2**63)).cast("long")
+    first = near_duplicates(docs, doc_id=doc_id, text=text, **more).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("_first")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), none).alias("_first"), F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).alias("_t"))
+    # One shuffle of the texts serves the join and the choice of one row.
+    return own.join(first, "_first", "left_semi").dropDuplicates(["_first", "_t"]).select("_row.*")
