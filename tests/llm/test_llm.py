@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strataframe.llm import graph, html_text, kneser_ney, mixing, mpegts, packing, quality, queries, simhash, suffix_dedup, token_counts, warc
+from strataframe.llm import graph, html_text, kneser_ney, mixing, mpegts, packing, quality, queries, simhash, suffix_dedup, token_counts, warc, word_model
 
 DATA = "/root/testdata/sf0.001"
 ODD = ["", " \n\t ", "a  b\x0bc", "naïve café — ok?\n\nline\nline\n", "<|endoftext|> x<|startoftext|>", "x" * 3000, "word " * 900, "Σ é́ \x1c ", "it's don't.,! 12,3 ²"]
@@ -121,6 +121,54 @@ def test_counts_against_brute_force():
     assert g.tolist() == [a, a << 5 | b, b << 5, 0, a, a << 5 | s, s << 5 | b, b << 5 | s, s << 5] and at.tolist() == [0, 3, 4, 9]
 
 
+def brute_pairs(texts, teach, model):
+    """log2 P of each text's words by plain dictionaries; a text's own pairs are taken from its counts."""
+    split = lambda t: [w.lower() for w in t.encode().split()]
+    pairs = [list(zip([b"", *split(t)], split(t))) for t in texts]
+    count = collections.Counter(p for own, use in zip(pairs, teach) if use for p in own)
+    d = word_model.discount([sum(n == k for n in count.values()) for k in range(1, 5)])
+    total, taken = collections.Counter(), collections.Counter()
+    for (v, _), n in count.items():
+        total[v] += n
+        taken[v] += d[min(n, 3)]
+    out = []
+    for text, own, use in zip(texts, pairs, teach):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        start, end, _, _ = word_model.words_of(raw, np.array([0, len(raw)]))
+        here, sum_ = collections.Counter(own) if use else collections.Counter(), 0.0
+        for p, s in zip(own, word_model.spelled(model, raw, start, end)):
+            n, c, rest = count[p], count[p] - here[p], total[p[0]] - here[p]
+            left = min(1.0, (taken[p[0]] - d[min(n, 3)] + d[min(c, 3)]) / rest) if rest else 1.0
+            sum_ += np.log2((c - d[min(c, 3)]) / max(rest, 1) + left * 2 ** (-np.round(-16 * s) / 16))
+        out.append(sum_)
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
+def test_word_pairs_against_brute_force(spark, shard_bytes):
+    # "the the" makes a hot word and a hot pair, which are split over shards.
+    rng = np.random.default_rng(5)
+    words = ["the"] * 6 + ["of", "Of", "stone", "\u00e9t\u00e9", "river", "a", "mill,", "x1"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 3, 12, 40, 40, 90)] + ["the the the\nthe", "  the\tthe the ", "\u00e9"]
+    texts.append(texts[3])
+    teach = [i % 4 != 2 for i in range(len(texts))]
+    raw = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    c = kneser_ney.Counter(4)
+    c.add(raw, np.array([0, len(raw)]))
+    model = kneser_ney.Model(*c.table(), 4)
+    d = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(99, "en", None), (98, "fr", "")], "row long, lang string, text string").repartition(3)
+    plan = word_model.hot(d, shard_bytes)["en"]
+    if shard_bytes == 200:
+        assert len(plan[1]) and len(plan[3]) and plan[2].max() > 1
+    taught = {i for i, use in enumerate(teach) if use}
+    scored = word_model.word_scores(d, spark.sparkContext.broadcast({"en": model}), lambda b: np.isin(b.column(0).to_numpy(), list(taught)), shard_bytes)
+    got = {r.row: (r.log2p, r.words) for r in scored.collect()}
+    want = brute_pairs(texts, teach, model)
+    assert got.keys() == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        assert got[i][1] == len(t.split()) and got[i][0] == pytest.approx(want[i], rel=1e-6)
+
+
 def test_quality_separates_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     lab = spark.read.parquet(f"{d}/labels.parquet")
