@@ -139,7 +139,7 @@ def brute_pairs(texts, teach, model):
         for p, s in zip(own, word_model.spelled(model, raw, start, end)):
             n, c, rest = count[p], count[p] - here[p], total[p[0]] - here[p]
             left = min(1.0, (taken[p[0]] - d[min(n, 3)] + d[min(c, 3)]) / rest) if rest else 1.0
-            sum_ += np.log2((c - d[min(c, 3)]) / max(rest, 1) + left * 2 ** (-np.round(-16 * s) / 16))
+            sum_ += np.log2((c - d[min(c, 3)]) / max(rest, 1) + left * 2 ** (-np.round(-word_model.STEPS * s) / word_model.STEPS))
         out.append(sum_)
     return out
 
