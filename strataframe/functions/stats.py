@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 Z95 = 1.959963984540054
 
@@ -90,3 +91,42 @@ def fisher_exact_value(a: int, b: int, c: int, d: int) -> float:
 @F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_exact_value(*map(int, t)) for t in zip(a, b, c, d)])
+
+
+def conditional_odds_value(a: int, b: int, c: int, d: int, level: float = 0.95) -> tuple[float, float, float]:
+    """Conditional maximum-likelihood odds ratio of a 2x2 table and its exact interval, from the noncentral hypergeometric
+    distribution of a given the margins; 0 or infinity at the ends of a's range, nan where the margins fix a."""
+    r1, r2, c1 = a + b, c + d, a + c
+    low, high = max(0, c1 - r2), min(r1, c1)
+    if low == high:
+        return math.nan, 0.0, math.inf
+    x = np.arange(low, high + 1, dtype=float)
+    steps = np.log((r1 - x[:-1]) * (c1 - x[:-1])) - np.log((x[:-1] + 1) * (r2 - c1 + x[:-1] + 1))
+    base = np.concatenate([[0.0], np.cumsum(steps)])
+
+    def law(t: float) -> np.ndarray:
+        w = base + t * x
+        w = np.exp(w - w.max())
+        return w / w.sum()
+
+    def root(f) -> float:
+        lo, hi = -1.0, 1.0
+        while f(lo) > 0 and lo > -700:
+            lo *= 2
+        while f(hi) < 0 and hi < 700:
+            hi *= 2
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        return math.exp((lo + hi) / 2)
+
+    tail = (1 - level) / 2
+    odds = 0.0 if a == low else math.inf if a == high else root(lambda t: law(t) @ x - a)
+    lower = 0.0 if a == low else root(lambda t: law(t)[x >= a].sum() - tail)
+    upper = math.inf if a == high else root(lambda t: tail - law(t)[x <= a].sum())
+    return odds, lower, upper
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("odds", "low", "high")]))
+def conditional_odds(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([conditional_odds_value(*map(int, t)) for t in zip(a, b, c, d)], columns=["odds", "low", "high"])

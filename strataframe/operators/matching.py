@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_u32
@@ -63,6 +64,31 @@ def nearest_pairs(df: DataFrame, strata: list[str], key: str, side: str, value:
     return df.select(*strata, key, side, value).groupBy(*strata).applyInPandas(match, f"{types}, treated {kind}, control {kind}, gap double")
 
 
+def hash_pairs(df: DataFrame, strata: list[str], key: str, side: str, seed: int = 3) -> DataFrame:
+    """1:1 matching at random without replacement: both sides are numbered by a hash within the stratum, equal numbers meet."""
+    order = W.partitionBy(*strata, side).orderBy(stable_u32(F.concat_ws("|", F.lit(seed), F.col(key))), key)
+    d = df.select(*strata, key, side).withColumn("_i", F.row_number().over(order))
+    return d.where(F.col(side) == 1).select(*strata, "_i", F.col(key).alias("treated")).join(d.where(F.col(side) == 0).select(*strata, "_i", F.col(key).alias("control")), [*strata, "_i"]).drop("_i")
+
+
+def ablation(df: DataFrame, sets: dict[str, tuple[list[str], bool]], key: str, side: str, value: str, caliper: float) -> DataFrame:
+    """covariates, treated, control, gap: the same rows matched under each set of (exact strata, whether value must be near).
+    With value the nearest free row within the caliper is taken, else a random one of the stratum."""
+    parts = []
+    for name, (strata, near) in sets.items():
+        by, d = (strata, df) if strata else (["_all"], df.withColumn("_all", F.lit(1)))
+        if near:
+            m = nearest_pairs(d, by, key, side, value, caliper).select("treated", "control", "gap")
+        else:
+            v = df.select(F.col(key), F.col(value).alias("_v"))
+            m = hash_pairs(d, by, key, side).join(v.select(F.col(key).alias("treated"), F.col("_v").alias("_t")), "treated").join(v.select(F.col(key).alias("control"), F.col("_v").alias("_c")), "control").select("treated", "control", F.abs(F.col("_t") - F.col("_c")).alias("gap"))
+        parts.append(m.select(F.lit(name).alias("covariates"), "*"))
+    out = parts[0]
+    for m in parts[1:]:
+        out = out.unionByName(m)
+    return out
+
+
 def balance(df: DataFrame, by: list[str], treated: str, x: str) -> DataFrame:
     """Standardised mean difference per group."""
     t, c = F.when(F.col(treated), F.col(x)), F.when(~F.col(treated), F.col(x))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins, hashing, keys, stats
-from ..operators import auroc, contracts, cubes, intervals, linkage, matching, ranks, regress, select
+from ..operators import auroc, contracts, cubes, glm, intervals, linkage, matching, ranks, regress, select
 from .base import SCORED, scored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,6 +390,27 @@ def nearest_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest_pairs(d, ["tss_bin", "maf_bin"], "pair_key", "side", "z", 0.05)
 
 
+@query(f"""
+, d AS (SELECT tss_bin, pair_key, ancestry = 'AA' AS side, row_number() OVER (PARTITION BY tss_bin, ancestry = 'AA' ORDER BY ('0x' || substr(sha256('3|' || pair_key), 1, 8))::UBIGINT, pair_key) AS i FROM scored WHERE pip >= 0.5 AND ancestry <> 'NHW')
+SELECT a.tss_bin AS tss_bin, a.pair_key AS treated, b.pair_key AS control FROM d a JOIN d b ON a.tss_bin = b.tss_bin AND a.i = b.i WHERE a.side AND NOT b.side
+""")
+def random_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scored(spark, sf_dir).where("pip >= 0.5 and ancestry <> 'NHW'").select("tss_bin", "pair_key", (F.col("ancestry") == "AA").cast("int").alias("side"))
+    return matching.hash_pairs(d, ["tss_bin"], "pair_key", "side")
+
+
+@query()
+def covariate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sets of matching covariates over the same positives, with what each leaves unbalanced."""
+    d = scored(spark, sf_dir).where("pip >= 0.5 and ancestry <> 'NHW'").select("tss_bin", "maf_bin", "pair_key", (F.col("ancestry") == "AA").cast("int").alias("side"), F.abs("alphagenome").alias("z"))
+    sets = {"tss_only": (["tss_bin"], False), "tss_maf": (["tss_bin", "maf_bin"], False), "tss_z": (["tss_bin"], True), "z_only": ([], True), "tss_maf_z": (["tss_bin", "maf_bin"], True)}
+    m = matching.ablation(d, sets, "pair_key", "side", "z", 0.05)
+    side = lambda s: d.select(F.col("pair_key").alias(s), F.col("tss_bin").alias(f"tss_{s}"), F.col("maf_bin").alias(f"maf_{s}"))
+    both = m.join(side("treated"), "treated").join(side("control"), "control")
+    near = lambda c: r(F.avg((F.col(c) == "0-3kb").cast("double")), f"near_{c[4:]}")
+    return both.groupBy("covariates").agg(F.count(F.lit(1)).alias("pairs"), r(F.percentile("gap", F.lit(0.5)), "median_gap"), near("tss_treated"), near("tss_control"), r(F.avg((F.col("maf_control") == "<0.05").cast("double")), "rare_control"))
+
+
 @query("SELECT ancestry, tss_bin, round(avg(maf) FILTER (pip >= 0.5), 6) AS mean_1, round(avg(maf) FILTER (pip < 0.5), 6) AS mean_0, round((avg(maf) FILTER (pip >= 0.5) - avg(maf) FILTER (pip < 0.5)) / sqrt((var_samp(maf) FILTER (pip >= 0.5) + var_samp(maf) FILTER (pip < 0.5)) / 2), 6) AS smd FROM scored GROUP BY 1, 2")
 def covariate_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.balance(scored(spark, sf_dir).withColumn("t", F.col("pip") >= 0.5), ["ancestry", "tss_bin"], "t", "maf").select("ancestry", "tss_bin", r("mean_1"), r("mean_0"), r("smd"))
@@ -414,6 +435,12 @@ def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("odds", r((F.col("a") + 0.5) * (F.col("d") + 0.5) / ((F.col("b") + 0.5) * (F.col("c") + 0.5)), "odds"))
 
 
+@query()
+def conditional_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = contingency(spark, sf_dir).select("ancestry", stats.conditional_odds("a", "b", "c", "d").alias("x"))
+    return d.select("ancestry", r("x.odds", "odds"), r("x.low", "low"), r("x.high", "high"))
+
+
 @query()
 def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = contingency(spark, sf_dir)
@@ -481,6 +508,47 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regress.logistic(d, "y", ["one", "b", "maf"]).select("term", r("estimate"))
 
 
+def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Positives against low evidence: standardised log score, spline of log distance, log frequency."""
+    d = scored(spark, sf_dir).where("(pip >= 0.5 or pip < 0.01) and maf > 0")
+    lx = F.log10(F.abs("borzoi") + 1e-6)
+    m = d.agg(F.avg(lx).alias("_m"), F.stddev_samp(lx).alias("_s"))
+    d = d.join(F.broadcast(m), F.lit(True)).select("ancestry", "gene", (F.col("pip") >= 0.5).cast("double").alias("y"), F.lit(1.0).alias("one"), ((lx - F.col("_m")) / F.col("_s")).alias("x"), F.log10("maf").alias("log_maf"), bins.log_distance(F.col("distance")).alias("log_dist"))
+    d, spline = glm.with_spline(d, "log_dist", ["ancestry"])
+    return d, ["one", "x", *spline, "log_maf"]
+
+
+def _slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, xs = _design(spark, sf_dir)
+    return glm.fit(d, ["ancestry"], "y", xs, "gene").where("term = 'x'")
+
+
+@query()
+def spline_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, z = _slopes(spark, sf_dir), 1.96 * F.col("se")
+    return s.select("ancestry", "n", "converged", r("estimate"), r("se"), r(F.exp("estimate"), "odds"), r(F.exp(F.col("estimate") - z), "low"), r(F.exp(F.col("estimate") + z), "high"))
+
+
+@query()
+def slope_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = glm.contrasts(_slopes(spark, sf_dir), [], "ancestry", [("AA", "NHW"), ("AA", "CH"), ("CH", "NHW")])
+    return d.select("contrast", *map(r, ("difference", "se", "z", "p", "ratio")))
+
+
+@query()
+def leave_one_gene_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, xs = _design(spark, sf_dir)
+    return glm.leave_one_out(d.where("ancestry = 'AA'"), "y", xs, "gene").where("term = 'x'").select("left_out", "n", "converged", r("estimate"), r("se"))
+
+
+@query()
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC of held-out predictions, folds by gene."""
+    d = scored(spark, sf_dir).where("pip >= 0.5 or pip < 0.01").select("ancestry", "gene", (F.col("pip") >= 0.5).cast("double").alias("y"), F.lit(1.0).alias("one"), F.abs("borzoi").alias("b"), bins.log_distance(F.col("distance")).alias("ld"))
+    p = glm.cross_validated(d, ["ancestry"], "y", ["one", "b", "ld"], "gene").where("predicted is not null")
+    return auroc.auroc(p, "predicted", F.col("y") == 1, ["ancestry"]).select("ancestry", r("auroc"))
+
+
 @query("""
 SELECT 'unique pair_key' AS "check", CASE WHEN count(*) = count(DISTINCT pair_key) THEN 'pass' ELSE 'fail' END AS status, (count(*) - count(DISTINCT pair_key))::BIGINT AS details FROM scored
 UNION ALL SELECT 'complete bins', CASE WHEN count(*) FILTER (tss_bin IS NULL OR maf_bin IS NULL) = 0 THEN 'pass' ELSE 'fail' END, count(*) FILTER (tss_bin IS NULL OR maf_bin IS NULL) FROM scored

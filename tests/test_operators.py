@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import bins, hashing, keys, stats
-from strataframe.operators import auroc, contracts, cubes, intervals, linkage, matching, ranks, regress, select
-from strataframe.sources import io
+from strataframe.operators import auroc, contracts, cubes, glm, intervals, linkage, matching, ranks, regress, select
+from strataframe.sources import io, plink
 from strataframe.streaming import reservoir
 
 
@@ -160,3 +160,112 @@ def test_reservoir_over_batches_equals_one_pass(spark):
     for i in range(4):
         state = reservoir.merge(state, d.where(F.col("k").cast("int") % 4 == i), ["s"], 5, priority, "k")
     assert {tuple(r) for r in state.collect()} == want
+
+
+def brute_logistic(x, y):
+    import numpy as np
+
+    b = np.zeros(x.shape[1])
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve((x * (mu * (1 - mu))[:, None]).T @ x, x.T @ (y - mu))
+    return b, 1 / (1 + np.exp(-x @ b))
+
+
+def test_logistic_fits_by_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(g, int(i % 7), float(rng.normal()), float(rng.random())) for g in "ab" for i in range(150)]
+    rows = [(g, c, x, z, float(rng.random() < 1 / (1 + math.exp(-x + z)))) for g, c, x, z in rows]
+    d = spark.createDataFrame([*rows, ("c", 0, 1.0, 1.0, 1.0), ("a", 1, None, 1.0, 1.0)], "g string, c int, x double, z double, y double").withColumn("one", F.lit(1.0))
+    got = {(r.g, r.term): r for r in glm.fit(d, ["g"], "y", ["one", "x", "z"], "c").collect()}
+    assert got["c", "x"].estimate is None and not got["c", "x"].converged
+    for g in "ab":
+        t = [r for r in rows if r[0] == g]
+        x, y = np.array([[1, r[2], r[3]] for r in t]), np.array([r[4] for r in t])
+        b, mu = brute_logistic(x, y)
+        bread = np.linalg.inv((x * (mu * (1 - mu))[:, None]).T @ x)
+        s = np.zeros((7, 3))
+        np.add.at(s, [r[1] for r in t], x * (y - mu)[:, None])
+        se = np.sqrt(np.diag(bread @ s.T @ s @ bread * 7 / 6))
+        assert [got[g, n].estimate for n in ("one", "x", "z")] == pytest.approx(b, abs=1e-6) and [got[g, n].se for n in ("one", "x", "z")] == pytest.approx(se, abs=1e-6)
+        assert got[g, "x"].n == 150
+    left = {r.left_out: r for r in glm.leave_one_out(d.where("g = 'a'"), "y", ["one", "x"], "c").where("term = 'x'").collect()}
+    t = [r for r in rows if r[0] == "a" and r[1] != 3]
+    assert left[3].estimate == pytest.approx(brute_logistic(np.array([[1, r[2]] for r in t]), np.array([r[4] for r in t]))[0][1], abs=1e-6)
+    cv = glm.cross_validated(d.where("g < 'c'"), ["g"], "y", ["one", "x"], "c", folds=3)
+    assert cv.count() == 301 and cv.where("predicted is null").count() == 1 and cv.agg(F.max("predicted")).first()[0] < 1
+
+
+def test_contrasts(spark):
+    s = spark.createDataFrame([("a", 1.0, 0.3), ("b", 0.5, 0.4)], "g string, estimate double, se double")
+    r = glm.contrasts(s, [], "g", [("a", "b")]).first()
+    assert (r.contrast, r.difference, round(r.se, 9), round(r.z, 9)) == ("a_minus_b", 0.5, 0.5, 1.0) and r.p == pytest.approx(0.317310508)
+
+
+def test_spline_spans_natural_cubics(spark):
+    import numpy as np
+
+    x = [0.0, 1.0, 1.0, 2.0, 3.5, 4.0, 6.0, 7.0, 9.0, 10.0]
+    d, names = glm.with_spline(spark.createDataFrame([("g", v) for v in x], "g string, x double"), "x", ["g"])
+    rows = {r.x: [1.0, *[r[n] for n in names]] for r in d.collect()}
+    knots = np.percentile(sorted(set(x)), [0, 25, 50, 75, 100])
+    # the interpolating natural spline through any values at the knots is in the span, so fitted values agree
+    b = np.array([[1.0, (k - knots[0]) / 10, *[0.0] * 3] for k in knots])
+    for i, k in enumerate((k / 10 for k in knots)):
+        c = lambda j: max(k - knots[j] / 10, 0) ** 3  # noqa: B023, E731
+        e = [(c(j) - c(4)) / (1 - knots[j] / 10) for j in range(4)]
+        b[i, 2:] = [e[j] - e[3] for j in range(3)]
+    assert np.linalg.matrix_rank(b) == 5 and rows[0.0][1:] == [0.0] * 4 and rows[10.0][1] == 1.0
+    assert rows[10.0] == pytest.approx(b[4])
+
+
+def test_conditional_odds(spark):
+    # With margins of 4 the weights are 1, 16, 36, 16, 1; setting the mean to 3 leaves this quartic.
+    t = stats.conditional_odds_value(3, 1, 1, 3)[0]
+    assert t > 1 and t**4 - 36 * t**2 - 32 * t - 3 == pytest.approx(0, abs=1e-6)
+    assert stats.conditional_odds_value(0, 5, 5, 5)[:2] == (0.0, 0.0) and stats.conditional_odds_value(4, 0, 0, 4)[0] == math.inf and math.isnan(stats.conditional_odds_value(0, 0, 3, 4)[0])
+    # by definition: with the odds given, the expected count is the observed one, and each end leaves 2.5 % beyond
+    a, b, c, d = 7, 5, 3, 11
+    o, low, high = stats.conditional_odds_value(a, b, c, d)
+    w = lambda t: [math.comb(12, x) * math.comb(14, 10 - x) * t**x for x in range(11)]
+    assert sum(x * v for x, v in enumerate(w(o))) / sum(w(o)) == pytest.approx(7) and sum(w(low)[7:]) / sum(w(low)) == pytest.approx(0.025) and sum(w(high)[:8]) / sum(w(high)) == pytest.approx(0.025)
+    got = spark.createDataFrame([(7, 5, 3, 11)], "a long, b long, c long, d long").select(stats.conditional_odds("a", "b", "c", "d").alias("x")).select("x.*").first()
+    assert tuple(got) == pytest.approx((o, low, high))
+
+
+def test_binary_genotypes(spark, tmp_path):
+    want = [[random.Random(i * 7 + j).choice([0, 1, 2, None]) for j in range(6)] for i in range(5)]
+    code = {2: 0, None: 1, 1: 2, 0: 3}
+    body = b"".join(bytes(sum(code[g] << 2 * k for k, g in enumerate(row[at : at + 4])) for at in (0, 4)) for row in want)
+    (tmp_path / "x.bed").write_bytes(b"\x6c\x1b\x01" + body)
+    (tmp_path / "x.bim").write_text("".join(f"1\tv{i}\t0\t{100 + i}\tA\tG\n" for i in range(5)))
+    (tmp_path / "x.fam").write_text("".join(f"f s{j} 0 0 0 -9\n" for j in range(6)))
+    d = plink.read_genotypes(spark, f"{tmp_path}/x", rows=2)
+    assert {r.variant_id: list(r.dosage) for r in d.collect()} == {f"v{i}": row for i, row in enumerate(want)}
+    some = plink.read_genotypes(spark, f"{tmp_path}/x", samples=[5, 0]).where("variant_id = 'v2'").first()
+    assert list(some.dosage) == [want[2][5], want[2][0]] and (some.chromosome, some.position, some.a1, some.a2) == ("1", 102, "A", "G")
+    for r in plink.allele_frequencies(d).collect():
+        seen = [g for g in want[int(r.variant_id[1:])] if g is not None]
+        assert r.observed == len(seen) and r.a1_frequency == pytest.approx(sum(seen) / (2 * len(seen)))
+    assert [r.sample for r in plink.sample_ids(spark, f"{tmp_path}/x").collect()] == [f"s{j}" for j in range(6)]
+    (tmp_path / "x.bed").write_bytes(b"\x6c\x1b\x00" + body)
+    with pytest.raises(Exception, match="variant-major"):
+        plink.read_genotypes(spark, f"{tmp_path}/x").collect()
+
+
+def test_ablation(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("xy"), i % 2, rng.random()) for i in range(60)]
+    d = spark.createDataFrame(rows, "k long, s string, side int, z double")
+    got = matching.ablation(d, {"s": (["s"], False), "z": ([], True), "sz": (["s"], True)}, "k", "side", "z", 0.1).collect()
+    by = {r[0]: r for r in rows}
+    for name in ("s", "z", "sz"):
+        m = [r for r in got if r.covariates == name]
+        assert m and len({r.treated for r in m}) == len({r.control for r in m}) == len(m)
+        assert all(by[r.treated][2] == 1 and by[r.control][2] == 0 and r.gap == pytest.approx(abs(by[r.treated][3] - by[r.control][3])) for r in m)
+        assert name == "z" or all(by[r.treated][1] == by[r.control][1] for r in m)
+        assert name == "s" or all(r.gap <= 0.1 for r in m)
+    n = {s: (sum(r[1] == s and r[2] == 1 for r in rows), sum(r[1] == s and r[2] == 0 for r in rows)) for s in "xy"}
+    assert sum(r.covariates == "s" for r in got) == sum(min(v) for v in n.values())
