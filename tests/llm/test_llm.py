@@ -178,6 +178,29 @@ def test_quality_separates_held_out_labels(spark):
         assert kept[1] > 0.95 and 1 - kept[0] > least, kept
 
 
+def test_classifier_learns_from_all_trusted_text(spark):
+    # Words in the order of the trusted text against the same words in another order: only pairs tell them apart.
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    following = {w: rng.sample(words, 2) for w in words}
+
+    def chain(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(following[out[-1]]))
+        return " ".join(out)
+
+    rows = [(i, chain(120), "en") for i in range(400)] + [(1000 + i, " ".join(rng.choice(words) for _ in range(120)), "en") for i in range(40)]
+    d = spark.createDataFrame([*rows, (None, "no id", "en")], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1) for i in range(400)] + [(None, 1)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.classify(d, lab).collect()}
+    assert len(kept) == 441 and sum(kept[i] for i in range(400)) >= 390 and not any(kept[1000 + i] for i in range(40))
+    left = quality.classify(d, lab, keep=True)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(k for k, v in kept.items() if v and k is not None)
+    maybe, rest = quality.parted(d, "doc_id", lab.where("doc_id < 100").select("doc_id"))
+    assert {r.doc_id for r in maybe.collect()} >= set(range(100)) and maybe.count() + rest.count() == 441
+
+
 # op3
 
 
