@@ -6,7 +6,8 @@
    with the neighbour that has the longer common path prefix (the one before it, if equal).
 3. Loose lines of the pair are aligned by longest common subsequence, and the shared ones are deleted: what two
    neighbours repeat in the same order is the site's frame. Main lines are kept, since the article itself may be
-   syndicated; so is a page that would lose all its lines and has no main zone.
+   syndicated; so is a page that would lose all its lines. Beside a main zone, the loose lines left stay if they have
+   more text than it: then the page's body is not what it put into <article>, and both are the text.
 
 Defined results: null html is an empty text; a null or odd URL is a host of its own name; repeated rows with equal URLs
 pair with each other; an empty table gives no rows.
@@ -36,6 +37,8 @@ MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|share|social|related|comments?|comment-list|disqus|replies|widget|pagination|pager|login|search|toolbar|copyright|legal|disclaimer|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: An article is of the frame if a whole class name says so, or one of its items: a story may well be called "has-sidebar".
+_FRAMED = re.compile(r"(?:^|\s)(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|related|comments?|disqus|replies|reply|widget|newsletter)(?:[_-]+(?:\d+|item|card|block|box|teaser|post|entry|body|list|article|story))*(?:$|\s)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -94,7 +97,7 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         if name in VOID or m[3].endswith("/"):
             continue
         named = " ".join(x for t in _NAMED.findall(m[3]) for x in t if x) if "=" in m[3] else ""
-        is_frame = name in FRAME or bool(named and name not in ("html", "body", "article", "main") and MARKED.search(named))
+        is_frame = name in FRAME or bool(named and name not in ("html", "body", "main") and (_FRAMED if name == "article" else MARKED).search(named))
         is_main = name in ("article", "main")
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # closed by the next of their kind
             if stack and stack[-1][0] == name:
@@ -168,9 +171,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
                 other = l1 if prefix(path, p1) >= prefix(path, p2) else l2
                 own = [t for t, m in zip(ls, main) if not m]
                 frame = iter(shared(own, other or []))
-                kept = [t for t, m in zip(ls, main) if m or not next(frame)]
-                if any(main):
-                    kept = [t for t, m in zip(ls, main) if m]  # the page names its article
+                stays = [m or not next(frame) for m in main]
+                text = [sum(len(t) for t, m, k in zip(ls, main, stays) if k and m == zone) for zone in (True, False)]
+                kept = [t for t, m, k in zip(ls, main, stays) if k and (m or text[1] > text[0])]
                 texts.append("\n".join(kept or ls))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -274,6 +274,14 @@ def test_html_differencing(spark):
     assert got[2] == {"second story"} and got[3] == {"Site name\nalone\nAll rights reserved"} and got[4] == {""} and got[5] == {"kept"} and got[None] == {"t"}
 
 
+def test_body_outside_of_articles(spark):
+    body = "the body of the page in plain blocks, longer than its teaser"
+    page = lambda own: f"<div>Site name</div><div>{own}</div><article class='card'>teaser</article><article class='comment comment-7'><p>I disagree</article><div>All rights reserved</div>"
+    rows = [(1, "http://h/a/10", page(body)), (2, "http://h/a/11", page("other " + body)), (3, "http://h/a/12", "<div>Site name</div><article class='has-sidebar'>story</article>")]
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"{body}\nteaser", 2: f"other {body}\nteaser", 3: "story"}
+
+
 def test_articles_of_the_tables(spark):
     import html as h
     import re
