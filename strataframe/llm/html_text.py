@@ -2,8 +2,9 @@
 
 1. A page becomes text lines, one per block, each with its zone: `main` inside <article> or <main>, else `loose`. Menus,
    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are no lines at all.
-2. Pages of a host that share directory and first character of the file name are ordered by path; a page is paired
-   with the neighbour that has the longer common path prefix (the one before it, if equal).
+2. Pages of a host are ordered by path; a page is paired with the neighbour that has the longer common path prefix (the
+   one before it, if equal), so no other page of its host is nearer. All pages are dealt by ranges of (host, path), whose
+   first and last rows go to the ranges beside them too: a large host is split and no pair is lost.
 3. Loose lines of the pair are aligned by longest common subsequence, and the shared ones are deleted: what two
    neighbours repeat in the same order is the site's frame. Main lines are kept, since the article itself may be
    syndicated; so is a page that would lose all its lines. Beside a main zone, the loose lines left stay if they have
@@ -15,13 +16,14 @@ pair with each other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -145,23 +147,64 @@ def prefix(a: str | None, b: str | None) -> int:
     return n
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages."""
+KEY = ("host", "path", "_id", "_tie")
+
+
+def key_columns(page_id: str, url: str, page: str) -> list[Column]:
+    """Host, path, id and hash of the page: the order of pages, without nulls."""
     address = F.coalesce(F.col(url).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(address, r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1)
-    d = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html")).select("page_id", "url", host.alias("host"), path.alias("path"), "html")
+    return [x.alias(k) for k, x in zip(KEY, (host, path, F.coalesce(F.col(page_id).cast("long"), F.lit(-(2**63)).cast("long")), F.xxhash64(F.col(url).cast("string"), F.col(page).cast("string"))))]
+
+
+def ranges(keys: DataFrame, n: int) -> tuple[list[tuple], dict[int, tuple[tuple, tuple]]]:
+    """(keys that begin a range, range -> its least and its greatest key), for about n ranges that are not empty. The driver
+    holds some keys per range."""
+    every = max(1, keys.count() // (8 * n))
+    sample = sorted(tuple(r) for r in keys.where(F.pmod(F.xxhash64(*KEY), F.lit(every)) == 0).select(*KEY).collect()) if n > 1 else []
+    starts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple]] = {}
+        for b in batches:
+            for k in zip(*(c.to_pylist() for c in b.columns)):
+                i = bisect.bisect_right(starts, k)
+                least, most = found.setdefault(i, [k, k])
+                found[i] = [min(least, k), max(most, k)]
+        rows = [(i, *k) for i, ks in found.items() for k in ks]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["_range", *KEY])
+
+    whole = F.struct(*KEY)
+    found = keys.select(*KEY).mapInArrow(bounds, "_range long, host string, path string, _id long, _tie long").groupBy("_range").agg(F.min(whole).alias("a"), F.max(whole).alias("z"))
+    return starts, {r._range: (tuple(r.a), tuple(r.z)) for r in found.collect()}
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", range_bytes: int = 8 << 20) -> DataFrame:
+    """page_id, url, text, n_chars of each row of pages."""
+    d = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), *key_columns(page_id, url, page), F.col(page).cast("string").alias("html"))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).head()[0]
+    starts, ends = ranges(d.select(*KEY), max(1, -(-size // range_bytes)))
+    order = sorted(ends)
+    beside = {i: (a, z) for i, a, z in zip(order, [None, *order], [*order[1:], None])}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            parsed = [lines(x) if x else ([], []) for x in b.column(4).to_pylist()]
-            loose = [[t for t, m in zip(*p) if not m] for p in parsed]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([p[0] for p in parsed], pa.list_(pa.string())), pa.array([p[1] for p in parsed], pa.list_(pa.bool_())), pa.array(loose, pa.list_(pa.string()))], names=["page_id", "url", "host", "path", "lines", "main", "loose"])
-
-    parsed = d.mapInArrow(parse, "page_id long, url string, host string, path string, lines array<string>, main array<boolean>, loose array<string>")
-    near = W.partitionBy("host", "_dir", "_initial").orderBy("path", "page_id")
-    parsed = parsed.withColumn("_dir", F.regexp_extract("path", r"^(.*/)", 1)).withColumn("_initial", F.substring(F.regexp_extract("path", r"([^/]*)/?$", 1), 1, 1))
-    paired = parsed.select("page_id", "url", "path", "lines", "main", F.lag("path").over(near).alias("p1"), F.lag("loose").over(near).alias("l1"), F.lead("path").over(near).alias("p2"), F.lead("loose").over(near).alias("l2"))
+            rows = []
+            for one, address, *key, text in zip(*(c.to_pylist() for c in b.columns)):
+                ls, main = lines(text) if text else ([], [])
+                loose, key = [t for t, m in zip(ls, main) if not m], tuple(key)
+                at = bisect.bisect_right(starts, key)
+                rows.append((one, address, *key, at, False, ls, main, loose))
+                rows += [(one, address, *key, to, True, [], [], loose) for to, end in zip(beside[at], ends[at]) if to is not None and key == end]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["page_id", "url", *KEY, "_range", "_guest", "lines", "main", "loose"])
+
+    parsed = d.mapInArrow(parse, "page_id long, url string, host string, path string, _id long, _tie long, _range long, _guest boolean, lines array<string>, main array<boolean>, loose array<string>")
+    near = W.partitionBy("_range").orderBy(*KEY)
+    own = lambda f, c: F.when(f("host").over(near) == F.col("host"), f(c).over(near))
+    paired = parsed.select("page_id", "url", "path", "lines", "main", own(F.lag, "path").alias("p1"), own(F.lag, "loose").alias("l1"), own(F.lead, "path").alias("p2"), own(F.lead, "loose").alias("l2"), "_guest").where("not _guest").drop("_guest")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

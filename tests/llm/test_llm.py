@@ -274,6 +274,19 @@ def test_html_differencing(spark):
     assert got[2] == {"second story"} and got[3] == {"Site name\nalone\nAll rights reserved"} and got[4] == {""} and got[5] == {"kept"} and got[None] == {"t"}
 
 
+@pytest.mark.parametrize("range_bytes", [300, 32 << 20])
+def test_html_partners_over_the_whole_host(spark, range_bytes):
+    # Every page is a directory of its own; ranges of a few pages must not part neighbours.
+    page = lambda own: f"<div>Site name</div><div>{own}</div><div>All rights reserved</div>"
+    rows = [(i, f"http://h/2024/{i:02d}/slug{i}/", page(f"story {i}")) for i in range(40)] + [(100, "http://i/x/", page("alone")), (101, "http://j/x/", page("alone too"))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {x.page_id: x.text for x in html_text.extract(d, range_bytes=range_bytes).collect()}
+    assert got == {i: f"story {i}" for i in range(40)} | {100: "Site name\nalone\nAll rights reserved", 101: "Site name\nalone too\nAll rights reserved"}
+    if range_bytes == 300:
+        keys = d.select(*html_text.key_columns("page_id", "url", "html"))
+        assert len(html_text.ranges(keys, 10)[1]) > 3
+
+
 def test_body_outside_of_articles(spark):
     body = "the body of the page in plain blocks, longer than its teaser"
     page = lambda own: f"<div>Site name</div><div>{own}</div><article class='card'>teaser</article><article class='comment comment-7'><p>I disagree</article><div>All rights reserved</div>"
