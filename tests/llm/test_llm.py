@@ -201,6 +201,16 @@ def test_classifier_learns_from_all_trusted_text(spark):
     assert {r.doc_id for r in maybe.collect()} >= set(range(100)) and maybe.count() + rest.count() == 441
 
 
+def test_classifier_rejects_low_perplexity(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", [9, 2, 2, 2, 1, 1, 1, 1], k=6))
+    rows = [(i, " ".join(word() for _ in range(100)), "en") for i in range(300)] + [(1000 + i, " ".join(["aaaaaa"] * (100 + i)), "en") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.classify(d, lab).collect()}
+    assert sum(kept[i] for i in range(300)) >= 290 and not any(kept[1000 + i] for i in range(10))
+
+
 # op3
 
 
