@@ -1,9 +1,11 @@
-"""What the operators share: shared storage, Arrow buffers as numpy arrays, word splitting."""
+"""What the operators share: shared storage, thinned joins, Arrow buffers as numpy arrays, word splitting."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), one under /tmp is used."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one under /tmp serves a session
+    whose executors are threads of the driver; a cluster has to name one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/strataframe-shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file:///tmp/strataframe-shared"
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Have Spark send Python batches of at most so many rows: whole texts make the default of 10,000 rows large buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system, since workers are used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors, and keeps costly
     Python stages from running twice."""
@@ -45,6 +66,23 @@ def release(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Words of 64 bits of the bit map that thins out joins.
+MARKS = 1 << 19
+
+
+def parted(d: DataFrame, cols: Sequence[str], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of d whose cols may be among keys' columns of the same names, rows whose cols are not), by a bit map of hashes
+    of fixed size that is broadcast. A join of the first part with keys of any number then shuffles little more than the rows
+    it meets. Keys beyond the map's capacity only make the first part larger; rows never go missing."""
+    place = F.pmod(F.xxhash64(*cols), F.lit(MARKS * 64))
+    bit = (place % 64).cast("int")
+    marks = keys.groupBy(F.shiftright(place, 6).alias("_mark")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    seen = d.withColumn("_mark", F.shiftright(place, 6)).join(F.broadcast(marks), "_mark", "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in d.columns]
+    return seen.where(maybe).select(own), seen.where(~maybe).select(own)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -79,13 +117,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each has about `most` bytes, or is one row; every row is kept."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-        start = 0
-        while start < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-            end = min(max(end, start + 1), start + rows, batch.num_rows)
-            yield batch.slice(start, end - start)
-            start = end
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
+            start = 0
+            while start < batch.num_rows:
+                end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
+                end = min(max(end, start + 1), start + rows, batch.num_rows)
+                yield batch.slice(start, end - start)
+                start = end
+    finally:
+        trim()

@@ -1,9 +1,9 @@
-"""Interpolated modified Kneser-Ney over a fixed alphabet of byte classes.
+"""Spelling: interpolated modified Kneser-Ney over byte classes, the base distribution of the word model.
 
-Text is read as UTF-8 bytes in 32 classes (26 letters without case, digits, white space, two groups of marks, bytes over
-127; 0 is the border of a text). An n-gram of classes is a number of 5 * n bits, which serves as its hash without
-collisions, so a model of order n has at most 32 ** n entries per language whatever the size of the corpus. That bound
-is why the unit is the byte class and not the word: a word model grows with the corpus and could not be broadcast.
+A word is read as UTF-8 bytes in 64 classes (26 letters without case, digits, three groups of marks, control characters,
+and 32 for bytes over 127, so that scripts and their letters differ; 0 is the border of a word). An n-gram of classes is a
+number of 6 * n bits, which serves as its hash without collisions, so a model of order 3 has at most 2 ** 18 entries per
+language whatever the size of the corpus, and may be broadcast.
 
 A model needs only the counts of its highest order. Lower orders count the distinct left neighbours of their n-grams.
 Each order has three discounts from its own counts of counts (for counts 1, 2, and 3 or more).
@@ -13,35 +13,36 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 5
+BITS = 6
 CLASSES = 1 << BITS
-#: Up to so many n-grams, counts and probabilities are looked up in a table of all of them.
-DENSE = 1 << 20
+ORDER = 3
 
 
 def class_table() -> np.ndarray:
-    """Byte -> class 1..31."""
+    """Byte -> class 1..63."""
     t = np.zeros(256, np.uint8)
     for b in range(256):
         c = chr(b).lower()
         if b >= 128:
-            t[b] = 31
+            t[b] = 32 + (b & 31)
         elif "a" <= c <= "z":
             t[b] = 1 + ord(c) - 97
         elif c.isdigit():
             t[b] = 27
-        elif c in " \t\r\n\x0b\x0c":
+        elif c in ".,;:!?":
             t[b] = 28
+        elif c in "'\"()-":
+            t[b] = 29
         else:
-            t[b] = 29 if c in ".," else 30
+            t[b] = 30 if b > 32 else 31
     return t
 
 
 TABLE = class_table()
 
 
-def codes(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram at every byte of every text and at its end, offsets of the texts among these)."""
+def codes(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram at every byte of every word and at its end, offsets of the words among these)."""
     n = np.diff(offsets)
     pad = order - 1
     at = np.arange(len(raw)) + np.repeat(np.arange(len(n)) * (pad + 1) + pad, n)
@@ -50,27 +51,27 @@ def codes(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray,
     full = np.zeros(len(x) - pad, np.uint32)
     for k in range(order):
         full = full << np.uint32(BITS) | x[k : len(x) - pad + k]
-    # Each text owns the n-grams that end at its bytes and at the border behind it; the rest belong to padding.
+    # Each word owns the n-grams that end at its bytes and at the border behind it; the rest belong to padding.
     own = n + 1
     begin = np.concatenate([[0], np.cumsum(n + pad + 1)])[:-1]
     index = np.arange(own.sum()) + np.repeat(begin - (np.cumsum(own) - own), own)
     return full[index], np.concatenate([[0], np.cumsum(own)])
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount of counts 0, 1, 2, 3 and more, from counts of counts; absolute 0.5 where these are too few."""
-    n = [float((counts == k).sum()) for k in range(1, 5)]
-    if min(n) == 0:
+def discounts(counts_of_counts: list[float]) -> np.ndarray:
+    """Discount of counts 0, 1, 2, 3 and more, from how many n-grams have counts 1 to 4; 0.5 where these are too few."""
+    n = counts_of_counts
+    if min(n) <= 0:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
-    return np.clip(np.array([0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
+    return np.clip(np.array([0.0] + [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
 
 
 class Model:
     """Sorted n-gram hashes of every order with their interpolated log2 probabilities, and context hashes with the log2
     weight left for the lower order."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.order = order
         by_order: list[tuple[np.ndarray, np.ndarray]] = [(grams.astype(np.uint32), counts.astype(np.int64))]
         for k in range(order - 1, 0, -1):
@@ -79,7 +80,7 @@ class Model:
         self.grams, self.logp, self.contexts, self.left = [], [], [], []
         below = np.full(CLASSES, 1 / CLASSES)
         for k, (g, c) in enumerate(by_order, 1):
-            d = discounts(c)
+            d = discounts([float((c == i).sum()) for i in range(1, 5)])
             context = g >> np.uint32(BITS)
             new = np.concatenate([[True], context[1:] != context[:-1]]) if len(g) else np.zeros(0, bool)
             start = np.flatnonzero(new)
@@ -121,58 +122,25 @@ class Model:
             out[miss] = extra + self._lookup(k - 1, g[miss] & np.uint32((1 << BITS * (k - 1)) - 1))
         return out
 
-    @classmethod
-    def of(cls, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-        """From finished tables: (grams, log2 P, contexts, log2 weight) of orders 1, 2, ..., grams and contexts sorted."""
-        m = cls.__new__(cls)
-        m.order = len(orders)
-        m.grams, m.logp, m.contexts, m.left = (list(x) for x in zip(*orders))
-        return m
-
     def log2p(self, g: np.ndarray) -> np.ndarray:
-        """log2 P of each n-gram's last class. Through a table of all n-grams, made at the first call, where DENSE allows it."""
-        if 1 << BITS * self.order > DENSE:
-            return self._lookup(self.order, g)
+        """log2 P of each n-gram's last class, through a table of all n-grams, made at the first call."""
         if getattr(self, "_all", None) is None:
             self._all = self._lookup(self.order, np.arange(1 << BITS * self.order, dtype=np.uint32))
         return self._all[g]
 
+    def words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """log2 P of each word's bytes and its border."""
+        if not len(start):
+            return np.zeros(0)
+        g, places = codes(*gathered(raw, start, end), self.order)
+        return np.add.reduceat(self.log2p(g).astype(np.float64), places[:-1])
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_all"}
 
 
-def scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log2 perplexity per byte of each text; an empty text has that of its border."""
-    g, at = codes(raw, offsets, model.order)
-    return -np.add.reduceat(model.log2p(g).astype(np.float64), at[:-1]) / np.diff(at) if len(at) > 1 else np.zeros(0)
-
-
-class Counter:
-    """Counts of n-grams in a bounded table: dense where DENSE allows it, else merged sorted arrays."""
-
-    def __init__(self, order: int):
-        self.order, self.grams, self.counts, self.loose = order, np.zeros(0, np.uint32), np.zeros(0, np.int64), []
-        self.dense = np.zeros(1 << BITS * order, np.int64) if 1 << BITS * order <= DENSE else None
-
-    def add(self, raw: np.ndarray, offsets: np.ndarray) -> None:
-        g = codes(raw, offsets, self.order)[0]
-        if self.dense is not None:
-            self.dense += np.bincount(g, minlength=len(self.dense))
-        else:
-            self.loose.append(np.unique(g, return_counts=True))
-            if len(self.loose) == 16:
-                self._merge()
-
-    def _merge(self) -> None:
-        g = np.concatenate([self.grams, *(x[0] for x in self.loose)])
-        n = np.concatenate([self.counts, *(x[1] for x in self.loose)])
-        self.grams, back = np.unique(g, return_inverse=True)
-        self.counts = np.bincount(back, n, len(self.grams)).astype(np.int64)
-        self.loose = []
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.dense is not None:
-            g = np.flatnonzero(self.dense)
-            return g.astype(np.uint32), self.dense[g]
-        self._merge()
-        return self.grams, self.counts
+def gathered(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of raw[start : end] one after the other, and n + 1 offsets into them."""
+    n = end - start
+    at = np.concatenate([[0], np.cumsum(n)])
+    return raw[np.arange(at[-1]) + np.repeat(start - at[:-1], n)], at

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strataframe.llm import graph, html_text, kneser_ney, mixing, mpegts, packing, quality, queries, simhash, suffix_dedup, token_counts, warc, word_model
+from strataframe.llm import common, graph, html_text, kneser_ney, mixing, mpegts, packing, quality, queries, simhash, suffix_dedup, token_counts, warc, word_model
 
 DATA = "/root/testdata/sf0.001"
 ODD = ["", " \n\t ", "a  b\x0bc", "naïve café — ok?\n\nline\nline\n", "<|endoftext|> x<|startoftext|>", "x" * 3000, "word " * 900, "Σ é́ \x1c ", "it's don't.,! 12,3 ²"]
@@ -38,20 +38,20 @@ def labels(spark):
 
 
 def brute_spans(texts, length):
-    count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    count = collections.Counter(hash(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - length + 1):
-            if count[t[i : i + length]] > 1:
+            if count[hash(t[i : i + length])] > 1:
                 gone[i : i + length] = b"\x01" * length
         kept = bytes(b for b, g in zip(t, gone) if not g)
         out.append((len(t), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("group_most", [8192, 2])
-def test_suffix_dedup(spark, group_most):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 200])
+def test_suffix_dedup(spark, group_bytes):
     r = random.Random(1)
     base = ["".join(r.choice("abcd é") for _ in range(r.randint(0, 400))) for _ in range(12)]
     texts = []
@@ -60,10 +60,37 @@ def test_suffix_dedup(spark, group_most):
         cut = r.randint(0, len(t))
         texts.append(r.choice([t, t[:cut] + "Z" + t[cut:], "ab" * 100, t[cut:]]))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(d, 60, group_most=group_most).collect()}
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(d, 60, group_bytes=group_bytes).collect()}
     assert [got[i] for i in range(len(texts))] == brute_spans([t.encode() for t in texts], 60)
 
 
+def spans_of(rows):
+    return {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows.collect()}
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 20, 3000])
+def test_suffix_dedup_of_the_table(spark, docs, group_bytes):
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip([x.doc_id for x in rows], brute_spans([x.text.encode() for x in rows], 400)))
+    assert spans_of(suffix_dedup.dedup(docs, group_bytes=group_bytes)) == want and sum(x[1] > 0 for x in want.values()) > 20
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 20, 20_000])
+def test_planted_passages_and_equal_rows(spark, group_bytes):
+    # Passages of over 50 words in texts of their own: those of 400 bytes or more go, shorter ones stay, others are left alone.
+    r = random.Random(11)
+    words = lambda n, k: " ".join("".join(r.choice("abcdefghijklmno") for _ in range(k)) for _ in range(n))
+    long, brief = words(60, 7), words(52, 4)
+    assert len(long) >= 400 > len(brief)
+    texts = [words(40, 6) + "\n" + (long, brief, "")[i % 3] + "\n" + words(30, 6) for i in range(90)]
+    rows = list(enumerate(texts)) + [(1000, texts[2])] * 40
+    got = spans_of(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), group_bytes=group_bytes))
+    want = brute_spans([t.encode() for _, t in rows], 400)
+    assert [got[i] for i, _ in rows] == want
+    # The line breaks around a passage go with it, and a few letters that some texts share behind them.
+    assert all(len(long) + 2 <= got[i][1] < len(long) + 20 for i in range(0, 90, 3)) and all(got[i][1] == 0 for i in range(1, 90, 3))
+
+
 def test_matching_statistics():
     r = random.Random(2)
     for _ in range(60):
@@ -72,6 +99,12 @@ def test_matching_statistics():
         texts = [r.choice(base)[r.randint(0, 3) :] for _ in range(r.randint(1, 6))]
         index = suffix_dedup.RunLengthIndex(texts)
         got = index.matching_statistics()
+        once = list(dict.fromkeys(texts))
+        short = suffix_dedup.RunLengthIndex(once, [texts.count(t) for t in once])
+        for k, t in enumerate(texts):
+            i = once.index(t)
+            assert (short.matching_statistics()[short.begins[i] : short.ends[i]] == got[index.begins[k] : index.ends[k]]).all()
+        assert short.run_lengths.sum() == index.n
         at = [(t, i) for t in range(len(texts)) for i in range(len(texts[t]) + 1)]
         for t, i in r.sample(at, min(25, len(at))):
             best = max((len(os.path.commonprefix([texts[t][i:], texts[u][j:]])) for u, j in at if (u, j) != (t, i)), default=0)
@@ -98,75 +131,167 @@ def test_base_rules(odd):
     assert len(got) == 13
 
 
-def test_model_is_a_distribution_and_joins_agree(spark, docs):
-    order = 3
-    texts = [x.text.encode() for x in docs.select("text").limit(40).collect()]
-    counter = kneser_ney.Counter(order)
-    counter.add(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    g, n = counter.table()
-    model = kneser_ney.Model(g, n, order)
-    for context in (0, int(g[len(g) // 2]) >> kneser_ney.BITS, 31 << 5 | 30):
-        p = np.exp2(model.log2p((np.uint32(context) << np.uint32(5)) | np.arange(32, dtype=np.uint32)).astype(float))
+def test_model_is_a_distribution(docs):
+    raw = np.frombuffer(" ".join(x.text for x in docs.select("text").collect()[:40]).encode(), np.uint8)
+    start, end, _, _ = word_model.words_of(raw, np.array([0, len(raw)]))
+    g, n = np.unique(kneser_ney.codes(*kneser_ney.gathered(raw, start, end))[0], return_counts=True)
+    model = kneser_ney.Model(g, n)
+    for context in (0, int(g[len(g) // 2]) >> kneser_ney.BITS, 63 << 6 | 30):
+        p = np.exp2(model.log2p((np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)).astype(float))
         assert p.sum() == pytest.approx(1, abs=1e-3)
-    counts = spark.createDataFrame([("en", int(a), int(b)) for a, b in zip(g, n)], "lang string, gram long, n long")
-    joined = quality.gathered(quality.joined_tables(counts, order))["en"]
-    some = np.arange(0, 1 << 15, 7, dtype=np.uint32)
-    assert np.allclose(joined.log2p(some), model.log2p(some), atol=1e-4)
 
 
 def test_counts_against_brute_force():
-    texts = [b"ab", b"", b"a b\n"]
+    texts = [b"ab", b"", b"a.B"]
     g, at = kneser_ney.codes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 2)
     a, b, s = 1, 2, 28
-    assert g.tolist() == [a, a << 5 | b, b << 5, 0, a, a << 5 | s, s << 5 | b, b << 5 | s, s << 5] and at.tolist() == [0, 3, 4, 9]
+    assert g.tolist() == [a, a << 6 | b, b << 6, 0, a, a << 6 | s, s << 6 | b, b << 6] and at.tolist() == [0, 3, 4, 8]
+    assert len({kneser_ney.TABLE[x] for x in "жшя中文".encode()}) > 6  # scripts differ
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_words_in_pieces(most):
+    raw = "one  two\nthree".encode() + b"x" * 20 + " 中文 é ".encode() + b"last"
+    offsets = np.array([0, 0, 8, 8, len(raw) - 4, len(raw)])
+    start, end, text, h = word_model.words_of(raw_of := np.frombuffer(raw, np.uint8), offsets, most)
+    want = [(i, w) for i in range(5) for w in raw[offsets[i] : offsets[i + 1]].split()]
+    assert [(int(i), raw_of[a:z].tobytes()) for i, a, z in zip(text, start, end)] == want and len(set(h.tolist())) == len(want)
 
 
-def brute_pairs(texts, teach, model):
-    """log2 P of each text's words by plain dictionaries; a text's own pairs are taken from its counts."""
+def brute_model(texts, teach, model):
+    """(log2 P in order, alone) of each text by plain dictionaries; a text's own pairs are taken from its counts."""
     split = lambda t: [w.lower() for w in t.encode().split()]
     pairs = [list(zip([b"", *split(t)], split(t))) for t in texts]
     count = collections.Counter(p for own, use in zip(pairs, teach) if use for p in own)
-    d = word_model.discount([sum(n == k for n in count.values()) for k in range(1, 5)])
-    total, taken = collections.Counter(), collections.Counter()
-    for (v, _), n in count.items():
+    d = kneser_ney.discounts([float(sum(n == k for n in count.values())) for k in range(1, 5)])
+    total, taken, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for (v, w), n in count.items():
         total[v] += n
         taken[v] += d[min(n, 3)]
+        before[w] += 1
+    mass = {w: (n - d[3]) / len(count) for w, n in before.items() if n >= max(4, word_model.LEAST_SHARE * count.total())}
+    rest_of = 1 - sum(mass.values())
     out = []
     for text, own, use in zip(texts, pairs, teach):
         raw = np.frombuffer(text.encode(), np.uint8)
         start, end, _, _ = word_model.words_of(raw, np.array([0, len(raw)]))
-        here, sum_ = collections.Counter(own) if use else collections.Counter(), 0.0
-        for p, s in zip(own, word_model.spelled(model, raw, start, end)):
+        here, order, alone = collections.Counter(own) if use else collections.Counter(), 0.0, 0.0
+        for p, s in zip(own, model.words(raw, start, end)):
             n, c, rest = count[p], count[p] - here[p], total[p[0]] - here[p]
             left = min(1.0, (taken[p[0]] - d[min(n, 3)] + d[min(c, 3)]) / rest) if rest else 1.0
-            sum_ += np.log2((c - d[min(c, 3)]) / max(rest, 1) + left * 2 ** (-np.round(-word_model.STEPS * s) / word_model.STEPS))
-        out.append(sum_)
+            q = mass.get(p[1], 0) + rest_of * 2 ** (-np.round(-word_model.STEPS * s) / word_model.STEPS)
+            order += np.log2((c - d[min(c, 3)]) / max(rest, 1) + left * q)
+            alone += np.log2(mass.get(p[1], 0) + rest_of * 2.0**s)
+        out.append((order, alone))
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
-def test_word_pairs_against_brute_force(spark, shard_bytes):
+def some_texts():
     # "the the" makes a hot word and a hot pair, which are split over shards.
     rng = np.random.default_rng(5)
     words = ["the"] * 6 + ["of", "Of", "stone", "\u00e9t\u00e9", "river", "a", "mill,", "x1"]
     texts = [" ".join(rng.choice(words, n)) for n in (1, 3, 12, 40, 40, 90)] + ["the the the\nthe", "  the\tthe the ", "\u00e9"]
-    texts.append(texts[3])
+    return [*texts, texts[3]]
+
+
+@pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
+def test_word_pairs_against_brute_force(spark, shard_bytes):
+    texts = some_texts()
     teach = [i % 4 != 2 for i in range(len(texts))]
-    raw = np.frombuffer(" ".join(texts).encode(), np.uint8)
-    c = kneser_ney.Counter(4)
-    c.add(raw, np.array([0, len(raw)]))
-    model = kneser_ney.Model(*c.table(), 4)
-    d = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(99, "en", None), (98, "fr", "")], "row long, lang string, text string").repartition(3)
-    plan = word_model.hot(d, shard_bytes)["en"]
+    d = spark.createDataFrame([(i, "en", t, teach[i]) for i, t in enumerate(texts)] + [(99, "en", None, False), (98, "fr", "", True)], "row long, lang string, text string, teaches boolean").repartition(3)
+    plan = word_model.survey(d, shard_bytes, 1 << 20)["en"]
     if shard_bytes == 200:
-        assert len(plan[1]) and len(plan[3]) and plan[2].max() > 1
-    taught = {i for i, use in enumerate(teach) if use}
-    scored = word_model.word_scores(d, spark.sparkContext.broadcast({"en": model}), lambda b: np.isin(b.column(0).to_numpy(), list(taught)), shard_bytes)
+        assert len(plan.words) and len(plan.pairs) and plan.word_parts.max() > 1
+    scored, known = word_model.word_scores(d, shard_bytes)
+    model = known.value["en"]
+    assert model.mass.sum() + model.left == pytest.approx(1) and len(model.level) > 2
     got = {r.row: (r.log2p, r.words) for r in scored.collect()}
-    want = brute_pairs(texts, teach, model)
+    want = brute_model(texts, teach, model.model)
     assert got.keys() == set(range(len(texts)))
     for i, t in enumerate(texts):
-        assert got[i][1] == len(t.split()) and got[i][0] == pytest.approx(want[i], rel=1e-6)
+        assert got[i][1] == len(t.split()) and got[i][0] == pytest.approx(want[i][0], rel=1e-6)
+
+
+def test_lossy_counts():
+    rng = np.random.default_rng(6)
+    stream = np.concatenate([rng.integers(10, 5000, 20_000), np.repeat([1, 2, 3], [900, 600, 50])]).astype(np.uint64)
+    rng.shuffle(stream)
+    c = word_model.Frequent(0.02)
+    for part in np.array_split(stream, 37):
+        c.add(*np.unique(part, return_counts=True), len(part))
+    kept = dict(zip(c.keys.tolist(), c.counts.tolist()))
+    assert 900 - 0.01 * c.seen <= kept[1] <= 900 and 600 - 0.01 * c.seen <= kept[2] <= 600 and kept.get(3, 0) <= 50 and len(kept) < 400 and c.seen == len(stream)
+
+
+def pick(values, share):
+    """The least value that at least this share of the values doesn't exceed."""
+    s = sorted(values)
+    return s[max(0, int(np.ceil(share * len(s))) - 1)]
+
+
+def corpus(seed, n=240):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 8))) for _ in range(150)]
+    share = 1 / np.arange(1, 151)
+    texts = [" ".join(rng.choice(words, rng.integers(11, 60), p=share / share.sum())) for _ in range(n)]
+    texts[5] = " ".join("%&%&" + w for w in texts[5].split())
+    texts[6], texts[8] = "%% " * 30, " ".join(rng.choice(words, 40)).upper()
+    return [(i, t, "en" if i % 3 else "de") for i, t in enumerate(texts)] + [(1000, texts[9], "en"), (None, "the end of it all", None), (1001, None, "de"), (1002, "", "en")]
+
+
+def test_classifier_verdicts_against_brute_force(spark):
+    rows = corpus(7)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    lab = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(240)], "doc_id long, quality int")
+    held = {r.doc_id: r.h for r in d.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("h")).collect()}
+    teaches = [i is not None and i < 240 and i % 5 != 0 and not held[i] for i, _, _ in rows]
+    want, spelling = {}, word_model.survey(quality.prepared(d, "doc_id", "text", "lang").join(spark.createDataFrame([(r[0], t) for r, t in zip(rows, teaches) if r[0] is not None], "doc_id long, teaches boolean"), "doc_id").select("row", "lang", "text", "teaches"), 1 << 20, 1 << 20)
+    for lang in ("en", "de"):
+        own = [k for k, r in enumerate(rows) if r[2] == lang]
+        scored = brute_model([rows[k][1] or "" for k in own], [teaches[k] for k in own], spelling[lang].model)
+        n = {k: len((rows[k][1] or "").split()) for k in own}
+        per = {k: [-x / n[k] for x in s] for k, s in zip(own, scored) if n[k]}
+        out = [k for k in per if rows[k][0] < 240 and rows[k][0] % 5 and held[rows[k][0]]]
+        bounds = []
+        for m in (0, 1):
+            mid = pick([per[k][m] for k in out], 0.5)
+            off = [(per[k][m] - mid) * n[k] ** 0.5 for k in out]
+            far = 6 / 0.6745
+            top = max(pick(off, 0.998) * (1 + 2.5 / len(out) ** 0.5), far * pick(off, 0.75))
+            low = min(pick(off, 0.002) * (1 + 2.5 / len(out) ** 0.5), far * pick(off, 0.25))
+            bounds.append((mid, low, top))
+        for k in own:
+            if n[k]:
+                z = [(per[k][m] - bounds[m][0]) * n[k] ** 0.5 for m in (0, 1)]
+                want[rows[k][0]] = not (z[0] > bounds[0][2] or z[1] > bounds[1][2] or z[1] < bounds[1][1])
+    got = {r.doc_id: r.kept for r in quality.classify(d, lab).collect()}
+    assert len(got) == len(rows) and {k: got[k] for k in want} == want and got[None] and got[1001] and got[1002]
+    assert not want[5] and sum(want.values()) > 230
+
+
+def test_rules_verdicts_against_brute_force(spark):
+    rows = corpus(8)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in quality.rate(d).collect()}
+    spelling = word_model.survey(quality.prepared(d, "doc_id", "text", "lang").withColumn("teaches", F.lit(True)).select("row", "lang", "text", "teaches"), 1 << 20, 1 << 20)
+    for lang in ("en", "de"):
+        own = [k for k, r in enumerate(rows) if r[2] == lang]
+        scored = brute_model([rows[k][1] or "" for k in own], [True] * len(own), spelling[lang].model)
+        per = {}
+        for k, (order, alone) in zip(own, scored):
+            text = rows[k][1] or ""
+            if n := len(text.split()):
+                per[k] = (-order / n, -alone / n, -alone / len(text.encode()), n**0.5, got[rows[k][0]].base_failed)
+        usual = [x for x in per.values() if not x[4]]
+        bands = []
+        for m, (below, above) in enumerate(((1e9, 6), (3, 6), (1e9, 5))):
+            mid = pick([x[m] for x in usual], 0.5)
+            low, high = (pick([(x[m] - mid) * x[3] for x in usual], share) / 0.6745 for share in (0.25, 0.75))
+            bands.append((mid, low * below, high * above))
+        for k, x in per.items():
+            inside = all(low <= (x[m] - mid) * x[3] <= high for m, (mid, low, high) in enumerate(bands))
+            assert got[rows[k][0]].kept == (not x[4] and inside), rows[k]
+    assert not got[5].kept and sum(x.kept for x in got.values()) > 220
 
 
 def test_quality_separates_held_out_labels(spark):
@@ -197,10 +322,19 @@ def test_classifier_learns_from_all_trusted_text(spark):
     assert len(kept) == 441 and sum(kept[i] for i in range(400)) >= 390 and not any(kept[1000 + i] for i in range(40))
     left = quality.classify(d, lab, keep=True)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(k for k, v in kept.items() if v and k is not None)
-    maybe, rest = quality.parted(d, "doc_id", lab.where("doc_id < 100").select("doc_id"))
+    maybe, rest = common.parted(d, ("doc_id",), lab.where("doc_id < 100").select("doc_id"))
     assert {r.doc_id for r in maybe.collect()} >= set(range(100)) and maybe.count() + rest.count() == 441
 
 
+def test_trusted_ids_beyond_the_broadcast(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "x") for i in (-70, -1, 0, 1, 63, 64, 65, 200)] * 2 + [(None, "y")], "doc_id long, text string")
+    ids = spark.createDataFrame([(-70,), (0,), (64,), (9999,)], "_id long")
+    want = [(i, i in (-70, 0, 64)) for i in (-70, -1, 0, 1, 63, 64, 65, 200)] * 2 + [(None, False)]
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(quality, "IDS_MOST", most)
+        assert sorted(map(str, ((r.doc_id, r.trusted) for r in quality.marked(d, ids).collect()))) == sorted(map(str, want))
+
+
 def test_classifier_rejects_low_perplexity(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", [9, 2, 2, 2, 1, 1, 1, 1], k=6))
