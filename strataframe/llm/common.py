@@ -49,12 +49,12 @@ def trim() -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors, and keeps costly
-    Python stages from running twice."""
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Write df to the application's part of the shared folder as Parquet and read it back: cuts lineage, survives lost
+    executors, and keeps costly Python stages from running twice. What release() has not deleted goes with that folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

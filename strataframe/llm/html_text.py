@@ -1,17 +1,20 @@
-"""Main text of web pages by structure and by differencing with the page of the nearest URL.
+"""Main text of web pages by differencing with the page of the nearest URL, judged by structure.
 
-1. A page becomes text lines, one per block, each with its zone: `main` inside <article> or <main>, else `loose`. Menus,
-   headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are no lines at all.
+1. A page becomes text lines, one per block, each with its zone: `frame` inside menus, headers, footers, sidebars, notices,
+   adverts, forms and comments, `main` inside <article> or <main>, else `loose`. Scripts, styles and the like are no lines.
 2. Pages of a host are ordered by path; a page is paired with the neighbour that has the longer common path prefix (the
    one before it, if equal), so no other page of its host is nearer. All pages are dealt by ranges of (host, path), whose
    first and last rows go to the ranges beside them too: a large host is split and no pair is lost.
-3. Loose lines of the pair are aligned by longest common subsequence, and the shared ones are deleted: what two
-   neighbours repeat in the same order is the site's frame. Main lines are kept, since the article itself may be
-   syndicated; so is a page that would lose all its lines. Beside a main zone, the loose lines left stay if they have
-   more text than it: then the page's body is not what it put into <article>, and both are the text.
+3. All lines of the pair are aligned by longest common subsequence, and the shared ones are deleted: what two neighbours
+   repeat in the same order is the site's frame. The article itself may be syndicated, or quote a passage that others
+   quote: its lines are deleted only if the neighbours on both sides have them, and neither shares half of its text.
+4. Of what is left, lines of the frame zone go too: those that differ from page to page, such as comments. Beside a main
+   zone, loose lines stay if they have more text than it: then the page's body is not what it put into <article>. A
+   page that would lose all its lines keeps those outside of the frame.
 
 Defined results: null html is an empty text; a null or odd URL is a host of its own name; repeated rows with equal URLs
-pair with each other; an empty table gives no rows.
+pair with each other; very long pages take memory in proportion to their lines; columns of other names are left out; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,17 +41,24 @@ MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|share|social|related|comments?|comment-list|disqus|replies|widget|pagination|pager|login|search|toolbar|copyright|legal|disclaimer|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
-#: An article is of the frame if a whole class name says so, or one of its items: a story may well be called "has-sidebar".
-_FRAMED = re.compile(r"(?:^|\s)(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|related|comments?|disqus|replies|reply|widget|newsletter)(?:[_-]+(?:\d+|item|card|block|box|teaser|post|entry|body|list|article|story))*(?:$|\s)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: An article, or a part of one, is of the frame if a whole class name says so, or one of its items: a story may well be called
+#: "has-sidebar", and a paragraph in it "share-price".
+_FRAMED = re.compile(
+    r"(?:^|\s)(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|footer|cookies?|consent|popup|modal|related|comments?|comment-list|disqus|replies|reply|widget|newsletter|subscribe|signup|share|social|pagination|pager|toolbar)(?:[_-]+(?:\d+|item|card|block|box|teaser|post|entry|body|list|article|story|links?|buttons?|bar|form|section|thread))*(?:$|\s)",
+    re.I,
+)
+#: A quote that is not closed before the end of the page is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$)", re.S)
+#: Zones of lines.
+LOOSE, MAIN, IN_FRAME = 0, 1, 2
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _CLOSE_RAW = {name: re.compile(rf"</{name}\s*(?:>|$)|$(?![\s\S])", re.I) for name in RAW}
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """(text of each block, whether it is in the main zone)."""
-    out, main = [], []
+def lines(page: str) -> tuple[list[str], list[int]]:
+    """(text of each block, its zone)."""
+    out, zones = [], []
     stack: list[tuple[str, bool, bool]] = []  # name, frame, main
     frame = zone = 0
     part: list[str] = []
@@ -61,21 +70,20 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             text = _SPACE.sub(" ", html.unescape("".join(part))).strip()
             if text:
                 out.append(text)
-                main.append(zone > 0)
+                zones.append(IN_FRAME if frame else MAIN if zone else LOOSE)
             part = []
 
     while pos < n:
         m = _TOKEN.search(page, pos)
         if m is None:
-            if not frame:
-                part.append(page[pos:])
+            part.append(page[pos:])
             break
-        if not frame and m.start() > pos:
+        if m.start() > pos:
             part.append(page[pos : m.start()])
         pos = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA[") and not frame:
+            if m[0].startswith("<![CDATA["):
                 part.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
@@ -99,7 +107,8 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         if name in VOID or m[3].endswith("/"):
             continue
         named = " ".join(x for t in _NAMED.findall(m[3]) for x in t if x) if "=" in m[3] else ""
-        is_frame = name in FRAME or bool(named and name not in ("html", "body", "main") and (_FRAMED if name == "article" else MARKED).search(named))
+        # An article has a header of its own, with its title.
+        is_frame = name in FRAME and not (zone and name == "header") or bool(named and name not in ("html", "body", "main") and (_FRAMED if zone or name == "article" else MARKED).search(named))
         is_main = name in ("article", "main")
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # closed by the next of their kind
             if stack and stack[-1][0] == name:
@@ -110,29 +119,43 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         frame += is_frame
         zone += is_main
     end_block()
-    return out, main
+    return out, zones
 
 
 def shared(a: list[str], b: list[str]) -> list[bool]:
-    """For each line of a, whether it is in a longest common subsequence with b. One row of bits per line, so the table is small."""
-    ids: dict[str, int] = {}
-    x, y = (np.array([ids.setdefault(s, len(ids)) for s in lines], np.int64) for lines in (a, b))
-    if not len(x) or not len(y):
-        return [False] * len(a)
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        take = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(take[::-1])[::-1]
-        table[i, -1] = 0
-    out, i, j = [False] * len(a), 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out[i] = True
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    """For each line of a, whether it is in a longest common subsequence with b. A row of the table is a number with a bit per
+    line of b, clear where the subsequence grows; every so many rows one is kept, and the rows between are made again on the
+    way back, so memory is as the root of the lines times the lines."""
+    both = set(a) & set(b)
+    at = [i for i, s in enumerate(a) if s in both]
+    x, y = [a[i] for i in at], [s for s in b if s in both]
+    out = [False] * len(a)
+    where: dict[str, int] = {}
+    for j, s in enumerate(y):
+        where[s] = where.get(s, 0) | 1 << j
+    full = (1 << len(y)) - 1
+
+    def rows(v: int, part: list[str]) -> list[int]:
+        made = [v]
+        for s in part:
+            hit = v & where[s]
+            v = ((v + hit) | (v - hit)) & full
+            made.append(v)
+        return made
+
+    step = max(1, int(len(x) ** 0.5))
+    kept = [full]
+    for i in range(0, len(x), step):
+        kept.append(rows(kept[-1], x[i : i + step])[-1])
+    j = len(y)
+    for k in range(len(kept) - 2, -1, -1):
+        part = x[k * step : (k + 1) * step]
+        table = rows(kept[k], part)
+        for i in range(len(part) - 1, -1, -1):
+            left = (1 << j) - 1
+            if (table[i] & left).bit_count() > (table[i + 1] & left).bit_count():  # longer with this line, so by its last match
+                j = (where[part[i]] & left).bit_length() - 1
+                out[at[k * step + i]] = True
     return out
 
 
@@ -181,8 +204,22 @@ def ranges(keys: DataFrame, n: int) -> tuple[list[tuple], dict[int, tuple[tuple,
     return starts, {r._range: (tuple(r.a), tuple(r.z)) for r in found.collect()}
 
 
+def main_text(ls: list[str], zones: list[int], nearest: list[str] | None, other: list[str] | None) -> tuple[str, int]:
+    """(text of a page, lines that differencing deleted) from its lines, their zones and its neighbours' lines."""
+    near, far = shared(ls, nearest or []), shared(ls, other or [])
+    size = lambda use: sum(len(t) for t, u in zip(ls, use) if u)
+    main = [z == MAIN for z in zones]
+    # A neighbour with half of the article has a copy of it.
+    copies = [2 * size([m and s for m, s in zip(main, one)]) >= size(main) for one in (near, far)]
+    deleted = [s and (not m or t and not any(copies)) for s, t, m in zip(near, far, main)]
+    stays = [not d and z != IN_FRAME for d, z in zip(deleted, zones)]
+    left = {zone: size([k and z == zone for k, z in zip(stays, zones)]) for zone in (MAIN, LOOSE)}
+    kept = [t for t, k, z in zip(ls, stays, zones) if k and (z == MAIN or left[LOOSE] > left[MAIN])]
+    return "\n".join(kept or [t for t, z in zip(ls, zones) if z != IN_FRAME]), sum(deleted)
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", range_bytes: int = 8 << 20) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages."""
+    """page_id, url, text, n_chars, n_shared (lines that differencing deleted) of each row of pages."""
     d = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), *key_columns(page_id, url, page), F.col(page).cast("string").alias("html"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).head()[0]
     starts, ends = ranges(d.select(*KEY), max(1, -(-size // range_bytes)))
@@ -190,34 +227,28 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     beside = {i: (a, z) for i, a, z in zip(order, [None, *order], [*order[1:], None])}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int8()))
         for b in slices(batches, "html"):
             rows = []
             for one, address, *key, text in zip(*(c.to_pylist() for c in b.columns)):
-                ls, main = lines(text) if text else ([], [])
-                loose, key = [t for t, m in zip(ls, main) if not m], tuple(key)
+                own, key = lines(text) if text else ([], []), tuple(key)
                 at = bisect.bisect_right(starts, key)
-                rows.append((one, address, *key, at, False, ls, main, loose))
-                rows += [(one, address, *key, to, True, [], [], loose) for to, end in zip(beside[at], ends[at]) if to is not None and key == end]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["page_id", "url", *KEY, "_range", "_guest", "lines", "main", "loose"])
+                rows.append((one, address, *key, at, False, *own))
+                rows += [(one, address, *key, to, True, *own) for to, end in zip(beside[at], ends[at]) if to is not None and key == end]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["page_id", "url", *KEY, "_range", "_guest", "lines", "zones"])
 
-    parsed = d.mapInArrow(parse, "page_id long, url string, host string, path string, _id long, _tie long, _range long, _guest boolean, lines array<string>, main array<boolean>, loose array<string>")
+    parsed = d.mapInArrow(parse, "page_id long, url string, host string, path string, _id long, _tie long, _range long, _guest boolean, lines array<string>, zones array<byte>")
     near = W.partitionBy("_range").orderBy(*KEY)
     own = lambda f, c: F.when(f("host").over(near) == F.col("host"), f(c).over(near))
-    paired = parsed.select("page_id", "url", "path", "lines", "main", own(F.lag, "path").alias("p1"), own(F.lag, "loose").alias("l1"), own(F.lead, "path").alias("p2"), own(F.lead, "loose").alias("l2"), "_guest").where("not _guest").drop("_guest")
+    paired = parsed.select("page_id", "url", "path", "lines", "zones", own(F.lag, "path").alias("p1"), own(F.lag, "lines").alias("l1"), own(F.lead, "path").alias("p2"), own(F.lead, "lines").alias("l2"), "_guest").where("not _guest").drop("_guest")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            for path, ls, main, p1, l1, p2, l2 in zip(*(columns[c] for c in ("path", "lines", "main", "p1", "l1", "p2", "l2"))):
-                other = l1 if prefix(path, p1) >= prefix(path, p2) else l2
-                own = [t for t, m in zip(ls, main) if not m]
-                frame = iter(shared(own, other or []))
-                stays = [m or not next(frame) for m in main]
-                text = [sum(len(t) for t, m, k in zip(ls, main, stays) if k and m == zone) for zone in (True, False)]
-                kept = [t for t, m, k in zip(ls, main, stays) if k and (m or text[1] > text[0])]
-                texts.append("\n".join(kept or ls))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return paired.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+            texts, gone = [], []
+            for _, _, path, ls, zones, p1, l1, p2, l2 in zip(*(c.to_pylist() for c in b.columns)):
+                text, n = main_text(ls, zones, *((l1, l2) if prefix(path, p1) >= prefix(path, p2) else (l2, l1)))
+                texts.append(text)
+                gone.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
+
+    return paired.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_shared long")

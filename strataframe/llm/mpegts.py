@@ -1,11 +1,14 @@
 """MPEG transport streams as media columns.
 
-`mux` stores payloads as streams of 188-byte packets: a program association table, a program map table, and one private
-data stream whose access units are packetized elementary packets with presentation times; every few units a
-random-access point carries a clock reference. `demux` reads a stream back: it parses both tables and their checksums,
-checks continuity counters per packet identifier, reassembles the elementary packets, and keeps times and random-access points.
-
-Defined results: null and empty texts are one padded block; equal texts give equal bytes; repeated rows are stored each.
+`mux` makes a stream of 188-byte packets: one private data stream whose access units are packetized elementary packets with
+presentation times. Every few units a random-access point carries a clock reference, and the program association and
+program map tables stand before it, so that a reader can join there. `demux` reads a stream: it parses all programs of
+the tables and their streams, verifies checksums, checks the continuity counters of every packet identifier, tables
+included, reassembles the elementary packets of one stream, and keeps times and random-access points. `store` writes the
+streams to the shared folder, reads them back with the parser, and describes what it has read.
+
+Defined results: null and empty texts are one padded block; equal texts give equal bytes; repeated rows are stored each;
+very long texts are streams of many units, held one at a time; columns of other names are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of
+from .common import materialize, slices, texts_of
 
 PACKET, PMT_PID, ES_PID, PRIVATE = 188, 0x1000, 0x101, 0x06
 #: Bytes of an access unit, 90 kHz ticks between units, units between random-access points.
@@ -37,16 +40,17 @@ def crc32_mpeg(data: bytes) -> int:
     return crc
 
 
-def section_packet(pid: int, table_id: int, body: bytes) -> bytes:
+def section_packet(pid: int, table_id: int, body: bytes, counter: int = 0) -> bytes:
     section = bytes([table_id]) + (0xB000 | len(body) + 4).to_bytes(2, "big") + body
     section += crc32_mpeg(section).to_bytes(4, "big")
-    return (bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + section).ljust(PACKET, b"\xff")
+    return (bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10 | counter & 15, 0]) + section).ljust(PACKET, b"\xff")
 
 
-@lru_cache(maxsize=1)
-def tables() -> bytes:
-    pat = section_packet(0, 0, b"\x00\x01\xc1\x00\x00" + b"\x00\x01" + (0xE000 | PMT_PID).to_bytes(2, "big"))
-    pmt = section_packet(PMT_PID, 2, b"\x00\x01\xc1\x00\x00" + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00")
+@lru_cache(maxsize=16)
+def tables(counter: int) -> bytes:
+    """Both tables, for the time that their counters are at `counter`."""
+    pat = section_packet(0, 0, b"\x00\x01\xc1\x00\x00" + b"\x00\x01" + (0xE000 | PMT_PID).to_bytes(2, "big"), counter)
+    pmt = section_packet(PMT_PID, 2, b"\x00\x01\xc1\x00\x00" + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00", counter)
     return pat + pmt
 
 
@@ -100,9 +104,12 @@ def unit_packets(data: bytes, pts: int, random: bool, counter: int) -> np.ndarra
 
 def mux(payload: bytes) -> bytes:
     """The stream of a payload, whose length must be positive."""
-    out, counter = [tables()], 0
+    out, counter = [], 0
     for k, a in enumerate(range(0, len(payload), UNIT)):
-        packets = unit_packets(payload[a : a + UNIT], k * TICKS, k % RANDOM_EVERY == 0, counter)
+        random = k % RANDOM_EVERY == 0
+        if random:
+            out.append(tables(k // RANDOM_EVERY & 15))
+        packets = unit_packets(payload[a : a + UNIT], k * TICKS, random, counter)
         counter += len(packets)
         out.append(packets.tobytes())
     return b"".join(out)
@@ -117,28 +124,63 @@ def section(packet: np.ndarray, table_id: int) -> bytes:
     return data[8:-4]
 
 
-def demux(stream: bytes) -> tuple[bytes, list[int], list[int], dict[str, int]]:
-    """(payload, times of its units, indexes of random-access units, counts). Damage raises ValueError."""
+def programs(p: np.ndarray, pid: np.ndarray) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+    """program number -> (identifier of its map, its streams as (type, identifier)), from the first tables of whole packets."""
+    first = np.flatnonzero(pid == 0)
+    if not len(first):
+        raise ValueError("no program association table")
+    association = section(p[first[0]], 0)
+    out = {}
+    for i in range(0, len(association), 4):
+        number, map_pid = int.from_bytes(association[i : i + 2], "big"), int.from_bytes(association[i + 2 : i + 4], "big") & 0x1FFF
+        if not number:  # the network's own table
+            continue
+        at = np.flatnonzero(pid == map_pid)
+        if not len(at):
+            raise ValueError("no program map table")
+        body = section(p[at[0]], 2)
+        j, streams = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF), []
+        while j < len(body):
+            streams.append((body[j], int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF))
+            j += 5 + (int.from_bytes(body[j + 3 : j + 5], "big") & 0xFFF)
+        out[number] = (map_pid, streams)
+    return out
+
+
+def demux(stream: bytes, late: bool = False, stream_pid: int | None = None) -> tuple[bytes, list[int], list[int], dict[str, int]]:
+    """(payload, times of its units, indexes of random-access units, counts) of one elementary stream, the first listed if
+    none is named. A late reader has joined within the stream and begins at its first random-access point behind the tables.
+    Damage raises ValueError."""
     if not stream or len(stream) % PACKET:
         raise ValueError("not whole packets")
     p = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != 0x47).any() or (p[:, 1] & 0x80).any():
         raise ValueError("lost synchronization")
     pid = (p[:, 1].astype(np.int32) & 31) << 8 | p[:, 2]
-    association = section(p[np.flatnonzero(pid == 0)[0]], 0)
-    pmt_pid = int.from_bytes(association[2:4], "big") & 0x1FFF
-    program = section(p[np.flatnonzero(pid == pmt_pid)[0]], 2)
-    info = int.from_bytes(program[2:4], "big") & 0xFFF
-    es_pid = int.from_bytes(program[5 + info : 7 + info], "big") & 0x1FFF
+    if late:
+        begin = np.flatnonzero(pid == 0)
+        p, pid = (x[begin[0] if len(begin) else 0 :] for x in (p, pid))
+    found = programs(p, pid)
+    streams = [s for _, own in found.values() for s in own]
+    if not streams:
+        raise ValueError("no stream")
+    stream_type, es_pid = next((s for s in streams if s[1] == stream_pid), streams[0])
+    map_pid = next(m for m, own in found.values() if (stream_type, es_pid) in own)
+    for one in {0, *(m for m, _ in found.values()), *(s[1] for s in streams)}:
+        counter = p[(pid == one) & ((p[:, 3] & 0x10) > 0), 3] & 15  # packets without payload do not count
+        gaps = int(((np.diff(counter.astype(np.int16)) & 15) != 1).sum())
+        if gaps:
+            raise ValueError(f"{gaps} gaps in continuity of {one}")
+    for table, at in ((0, 0), *((2, m) for m, _ in found.values())):
+        for packet in {x.tobytes() for x in p[pid == at]}:  # every copy of a table is whole
+            section(np.frombuffer(packet, np.uint8), table)
     es = p[pid == es_pid]
-    counter = es[:, 3] & 15
-    gaps = int(((np.diff(counter.astype(np.int16)) & 15) != 1).sum())
-    if gaps:
-        raise ValueError(f"{gaps} gaps in continuity")
     adapted = (es[:, 3] & 0x20) > 0
     skip = 4 + np.where(adapted, es[:, 4].astype(np.int64) + 1, 0)
     flags = np.where(adapted & (es[:, 4] > 0), es[:, 5], 0)
     starts = np.flatnonzero(es[:, 1] & 0x40)
+    if late:
+        starts = starts[np.cumsum(flags[starts] & 0x40) > 0]
     plain = skip == 4
     payload, times, points = [], [], []
     for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(es)])):
@@ -162,7 +204,7 @@ def demux(stream: bytes) -> tuple[bytes, list[int], list[int], dict[str, int]]:
         if flags[a] & 0x40:
             points.append(k)
         payload.append(pes[header:])
-    return b"".join(payload), times, points, {"packets": len(p), "es_packets": len(es), "pmt_pid": pmt_pid, "es_pid": es_pid, "stream_type": program[4 + info]}
+    return b"".join(payload), times, points, {"packets": len(p), "es_packets": len(es), "pmt_pid": map_pid, "es_pid": es_pid, "stream_type": stream_type, "programs": len(found)}
 
 
 def padded(raw: bytes, block: int = 192) -> bytes:
@@ -170,24 +212,39 @@ def padded(raw: bytes, block: int = 192) -> bytes:
 
 
 def describe(times: list[int], points: list[int], counts: dict[str, int]) -> str:
-    return f"packets={counts['packets']} pid={counts['es_pid']} type={counts['stream_type']} units={len(times)} pts={times[0]}..{times[-1]} random_access={','.join(map(str, points))}"
+    return f"packets={counts['packets']} programs={counts['programs']} pid={counts['es_pid']} type={counts['stream_type']} units={len(times)} pts={times[0]}..{times[-1]} random_access={','.join(map(str, points))}"
 
 
-def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, units (time and
-    random-access flag of each) and, with keep_media, the stream itself as `media`."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_())])))] + [("media", pa.binary())] * keep_media)
+def write_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, media: the stream of each text, stored in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
+            texts = texts_of(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    d = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text")
+    return materialize(d.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", "zstd")
+
+
+def read_media(stored: DataFrame, keep_media: bool = False) -> DataFrame:
+    """What the parser reads from stored streams: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature, units (time and random-access flag of each) and, with keep_media, the stream itself as `media`."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_())])))] + [("media", pa.binary())] * keep_media)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "media"):
             rows = []
-            for doc, raw in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                media = mux(padded(raw))
+            for doc, n, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
                 payload, times, points, counts = demux(media)
                 at = set(points)
-                row = (doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(times, points, counts), [{"pts": t, "random_access": k in at} for k, t in enumerate(times)])
+                row = (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(times, points, counts), [{"pts": t, "random_access": k in at} for k, t in enumerate(times)])
                 rows.append(row + (media,) * keep_media)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    d = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text")
-    return d.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts:long,random_access:boolean>>" + ", media binary" * keep_media)
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts:long,random_access:boolean>>" + ", media binary" * keep_media)
+
+
+def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:
+    """The texts of docs stored as streams and read back."""
+    return read_media(write_media(docs, doc_id, text), keep_media)

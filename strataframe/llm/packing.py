@@ -5,11 +5,13 @@ full. Full pieces are sequences by themselves. The others go to shards by a hash
 down: a segment tree over remaining capacities finds the tightest open sequence in logarithmic time per document. Only
 piece lengths are shuffled, never tokens. A shard holds `shard_rows` pieces or so, which leaves at most a few sequences per shard partly filled.
 
-Defined results: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows.
+Defined results: null and empty texts are the end id alone; repeated rows are packed each; very long texts are encoded in
+one piece of work and cut; columns of other names are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +28,23 @@ class PieceIds(dict):
     """' word' -> its ids as little-endian bytes. A text may be cut before any single space that stands before a
     character that is not white space: the pattern of byte-level BPE begins a new pre-token there in any context.
     Misses are encoded by tiktoken from the same vocabulary and merge order, some twenty times faster than the library
-    does short strings; the first `verify` of each worker are compared with the library."""
+    does short strings, if the tokenizer's file says that both do the same; the first `verify` of each worker are
+    compared with the library. Where either fails, the library encodes whole texts."""
 
     def __init__(self, name: str, most: int, verify: int = 200):
         super().__init__()
         self.most, self.verify, self.tokenizer = most, verify, load(name)
-        self.fast = self._fast()
+        self.fast = self._fast() if self.alike() else None
+
+    def alike(self) -> bool:
+        """Byte-level BPE with the usual pattern and nothing else, whose merges stand in the order of their ids."""
+        file = json.loads(self.tokenizer.to_str())
+        model, first = file["model"], file["pre_tokenizer"] or {}
+        plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if file["normalizer"] or model["type"] != "BPE" or not plain or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            return False
+        ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        return None not in ids and ids == sorted(ids)
 
     def _fast(self):
         import tiktoken
@@ -56,17 +69,22 @@ class PieceIds(dict):
         if self.verify:
             self.verify -= 1
             if ids != self.whole(piece):
-                raise ValueError(f"the two encoders differ on {piece!r}")
+                raise LookupError(piece)
         if len(piece) <= 64 and len(self) < self.most:
             self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         head, *rest = text.split(" ")
-        if "<|" in text or text[-1:].isspace() or any(not p or p[0].isspace() for p in rest):
+        if self.fast is None or "<|" in text or text[-1:].isspace() or any(not p or p[0].isspace() for p in rest):
             return self.whole(text)
         get = self.__getitem__
-        return b"".join([get(head), *map(get, [" " + p for p in rest])])
+        try:
+            return b"".join([get(head), *map(get, [" " + p for p in rest])])
+        except LookupError:  # the encoders differ
+            self.clear()
+            self.fast = None
+            return self.whole(text)
 
 
 class Capacities:
@@ -116,7 +134,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = 500_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = 200_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,5 +175,6 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
         yield from t.to_batches()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(shards, "_h").sortWithinPartitions("length", "_h").drop("_h")
+    # The row's place among the written pieces parts repeated rows, which would all go to one shard.
+    dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())).repartition(shards, "_h").sortWithinPartitions("length", "_h").drop("_h")
     return full.unionByName(dealt.mapInArrow(place, schema))

@@ -8,7 +8,8 @@ and the survivors by exact Hamming distance; a cell gives the edges of a spannin
 which has the same components. Copies of a fingerprint go through the join once.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; repeated rows link to each other;
-rows with null doc_id are never a component's id unless all are null; an empty table gives no rows.
+rows with null doc_id are never a component's id unless all are null; very long texts are one row's work; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of
+from .common import materialize, parted, slices, texts_of
 from .graph import components
 
 LOW = np.uint64(0x5555555555555555)
@@ -163,9 +164,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int =
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: int) -> DataFrame:
     """The rows of docs, one of each component: that with its id; of rows that repeat this id, one. Where a component has
-    no id at all, its rows stay, one of each text."""
+    no id at all, its rows stay, one of each text. Only rows whose id may go or is not alone are shuffled with their text."""
     none = F.lit(-(2**63)).cast("long")
-    first = near_duplicates(docs, doc_id=doc_id, text=text, **more).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("_first")).distinct()
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), none).alias("_first"), F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).alias("_t"))
-    # One shuffle of the texts serves the join and the choice of one row.
-    return own.join(first, "_first", "left_semi").dropDuplicates(["_first", "_t"]).select("_row.*")
+    own = F.coalesce(F.col(doc_id).cast("long"), none).alias("_first")
+    ids = near_duplicates(docs, doc_id=doc_id, text=text, **more).select(F.coalesce("doc_id", none).alias("_first"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("own"))
+    ids = materialize(ids.groupBy("_first").agg(F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("own")), "ids")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), own, F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).alias("_t"))
+    maybe, rest = parted(rows, ("_first",), ids.where("n > 1 or not own").select("_first"))
+    some = maybe.join(ids.where("own").select("_first"), "_first", "left_semi").dropDuplicates(["_first", "_t"])
+    return rest.unionByName(some.select(rest.columns)).select("_row.*")

@@ -355,11 +355,50 @@ def test_transport_stream_round_trip():
         payload, times, points, _ = mpegts.demux(mpegts.mux(p))
         assert payload == p and len(times) == -(-n // mpegts.UNIT) and points == list(range(0, len(times), mpegts.RANDOM_EVERY))
     stream = bytearray(mpegts.mux(b"x" * 5000))
-    with pytest.raises(ValueError, match="continuity"):
+    with pytest.raises(ValueError, match="continuity of 257"):
         mpegts.demux(bytes(stream[: 188 * 4] + stream[188 * 5 :]))
     stream[10] ^= 1
     with pytest.raises(ValueError, match="table"):
         mpegts.demux(bytes(stream))
+    # Tables are repeated at random-access points and counted too; a reader can join there.
+    p = r.randbytes(400_000)
+    whole = mpegts.mux(p)
+    packets = [whole[i : i + 188] for i in range(0, len(whole), 188)]
+    pid = [int.from_bytes(x[1:3], "big") & 0x1FFF for x in packets]
+    second = [i for i, x in enumerate(pid) if x == 0][1]
+    with pytest.raises(ValueError, match="continuity of 0"):
+        mpegts.demux(b"".join(packets[:second] + packets[second + 1 :]) + mpegts.tables(2)[:188])
+    late, times, points, _ = mpegts.demux(b"".join(packets[5:]), late=True)
+    assert late == p[mpegts.UNIT * mpegts.RANDOM_EVERY :] and times[0] == mpegts.TICKS * mpegts.RANDOM_EVERY and points[0] == 0
+
+
+def test_a_reference_stream():
+    # Written by hand from the standard: two programs, stuffing, an adaptation field alone, a stream of another type first.
+    crc = lambda b: b + mpegts.crc32_mpeg(b).to_bytes(4, "big")
+    packet = lambda head, body: bytes.fromhex(head) + body.ljust(188 - len(head) // 2, b"\xff")
+    assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
+    pat = packet("4740001300", crc(bytes.fromhex("00b015 0001 c1 00 00 0000 e010 0001 e100 0002 e200")))
+    first = packet("4741001700", crc(bytes.fromhex("02b017 0001 c1 00 00 e111 f000 1b e111 f000 06 e112 f000")))
+    other = packet("4742001a00", crc(bytes.fromhex("02b012 0002 c1 00 00 e221 f000 0f e221 f000")))
+    pes = bytes.fromhex("000001bd 000b 80 80 05 21 00 01 00 5b") + b"abc"  # time 45
+    unit = bytes.fromhex("4741123c") + bytes([183 - len(pes), 0x40]) + b"\xff" * (182 - len(pes)) + pes
+    alone = bytes.fromhex("4701122c b7 00") + b"\xff" * 182  # no payload: its counter stays
+    more = bytes.fromhex("000001bd 000a 80 80 05 21 00 01 00 5d") + b"de"
+    last = bytes.fromhex("4741123d") + bytes([183 - len(more), 0x00]) + b"\xff" * (182 - len(more)) + more
+    payload, times, points, counts = mpegts.demux(pat + first + other + unit + alone + last, stream_pid=0x112)
+    assert (payload, times, points) == (b"abcde", [45, 46], [0]) and counts["programs"] == 2 and counts["stream_type"] == 6
+
+
+def test_media_are_stored(spark, odd):
+    stored = mpegts.write_media(odd)
+    assert stored.inputFiles() and stored.columns == ["doc_id", "n_bytes", "media"]
+    got = collections.defaultdict(set)
+    for x in mpegts.read_media(stored, keep_media=True).collect():
+        got[x.doc_id].add((x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes, len(x.media), x.media_sha256))
+    for i, t in enumerate(ODD):
+        p = mpegts.padded(t.encode())
+        m = mpegts.mux(p)
+        assert got[i] == {(len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), len(m), hashlib.sha256(m).hexdigest())}
 
 
 # op4
@@ -403,10 +442,41 @@ def test_packing_is_gapless_and_exact(odd):
 
 def test_html_lines():
     page = "<head><title>t</title></head><nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two <i>x</i>y<p>three<script>var a='<p>';</script><div class='ad'>buy</div><ul><li>l1<li>l2</ul><div id=comments><p>me</p></div></article><footer>f</footer><p>loose"
-    assert html_text.lines(page) == (["A & B", "one two xy", "three", "l1", "l2", "loose"], [True] * 5 + [False])
-    assert html_text.lines("") == ([], []) and html_text.lines("<p>a<!-- <p>b --> c") == (["a c"], [False])
-    a, b = ["x", "k", "y", "k"], ["k", "z", "k"]
-    assert html_text.shared(a, b) == [False, True, False, True]
+    assert html_text.lines(page) == (["menu", "A & B", "one two xy", "three", "buy", "l1", "l2", "me", "f", "loose"], [2, 1, 1, 1, 2, 1, 1, 2, 2, 0])
+    assert html_text.main_text(*html_text.lines(page), None, None)[0] == "A & B\none two xy\nthree\nl1\nl2"
+    assert html_text.lines("") == ([], []) and html_text.lines("<p>a<!-- <p>b --> c") == (["a c"], [0])
+    own = "<header>Site</header><article><header><h1>Title</h1></header><p>body</p><p class='share-price'>12</p><div class='share'>mail</div></article>"
+    assert html_text.main_text(*html_text.lines(own), None, None)[0] == "Title\nbody\n12"
+    assert html_text.lines("<p title='x>a</p><p>b")[0] == ["a", "b"] and html_text.lines("<p>" + "<a href='" * 3000)[0] == []
+
+
+def plain_subsequence(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    r = random.Random(12)
+    for _ in range(400):
+        a, b = ([r.choice("abcdefg") for _ in range(r.randint(0, 18))] for _ in range(2))
+        own, rest = [x for x, s in zip(a, html_text.shared(a, b)) if s], iter(b)
+        assert len(own) == plain_subsequence(a, b) and all(x in rest for x in own)
+    assert html_text.shared(["x", "k", "y", "k"], ["k", "z", "k"]) == [False, True, False, True]
+    a, b = ([str(r.randint(0, 30_000)) for _ in range(50_000)] for _ in range(2))  # two very long pages
+    assert 400 < sum(html_text.shared(a, b)) < 700
+
+
+def test_differencing_of_articles():
+    # Lines that both neighbours have go from an article too, unless a neighbour has a copy of it.
+    page = lambda *own: html_text.lines("<nav>menu</nav><article><p>" + "<p>".join(own) + "<p>Follow us on every channel</article>")
+    a, b, c = page("one story " * 9), page("another story " * 9), page("a third story " * 9)
+    story = ("one story " * 9).strip()
+    assert html_text.main_text(*a, b[0], c[0]) == (story, 2)
+    assert html_text.main_text(*a, b[0], None) == (f"{story}\nFollow us on every channel", 1)
+    assert html_text.main_text(*a, a[0], b[0]) == (f"{story}\nFollow us on every channel", 1)
 
 
 def test_html_differencing(spark):
@@ -439,6 +509,28 @@ def test_body_outside_of_articles(spark):
     assert got == {1: f"{body}\nteaser", 2: f"other {body}\nteaser", 3: "story"}
 
 
+def test_pages_without_articles(spark):
+    # The tables' pages with plain blocks for their elements: only differencing can tell the site's lines from the page's.
+    import re
+
+    plain = lambda x: re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form|button|section|div)\b[^>]*>", r"<\1div>", x)
+    pages = [(x.page_id, x.url, plain(x.html)) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    parsed = {i: html_text.lines(h)[0] for i, _, h in pages}
+    split = lambda u: re.match(r"[a-z]+://([^/?#]*)([^?#]*)", u).groups()
+    order = sorted((*split(u), i) for i, u, _ in pages)
+    got = {x.page_id: x for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for k, (host, path, i) in enumerate(order):
+        beside = [(len(os.path.commonprefix([path, p])), -j, n) for j, (h, p, n) in enumerate(order) if abs(j - k) == 1 and h == host]
+        other = parsed[max(beside)[2]] if beside else []
+        zones = html_text.lines(next(h for n, _, h in pages if n == i))[1]
+        if html_text.IN_FRAME not in zones and html_text.MAIN not in zones:
+            n = plain_subsequence(parsed[i], other)
+            assert got[i].n_shared == n and (n == len(parsed[i]) or len(got[i].text.split("\n")) == len(parsed[i]) - n)
+            changed += n > 0
+    assert changed > 20
+
+
 def test_articles_of_the_tables(spark):
     import html as h
     import re
