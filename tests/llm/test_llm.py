@@ -194,6 +194,25 @@ def some_texts():
     return [*texts, texts[3]]
 
 
+def test_merging_by_ranges_of_words():
+    rng = np.random.default_rng(9)
+    plan = word_model.Plan(0, 1, *[np.zeros(0, np.uint64)] * 4, np.zeros(0, np.uint64), 1, kneser_ney.Model(np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+    parts = []
+    for i in range(4):
+        raw = " ".join(rng.choice(["aa", "b", "cc", "dd", "e"], 60)).encode()
+        ((_, data, size),) = word_model.messages(plan, np.frombuffer(raw, np.uint8), np.array([0, 40, len(raw)]), np.arange(2), np.array([1, i % 2]))
+        parts.append((i, size, data))
+    whole = list(word_model.merged(parts))
+    assert len(whole) == 1
+    for most in (1, 7, 50):
+        ranges = list(word_model.merged(parts, most))
+        assert len(ranges) > 1
+        for one, many in zip(whole[0][:4], zip(*ranges)):
+            assert (one == np.concatenate(many)).all()
+        uses = lambda x: sorted(zip(np.repeat(x[0], x[3]).tolist(), *(c.tolist() for c in x[4:])))
+        assert sorted(u for x in ranges for u in uses(x)) == uses(whole[0])
+
+
 @pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
 def test_word_pairs_against_brute_force(spark, shard_bytes):
     texts = some_texts()
