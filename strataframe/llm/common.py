@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,16 @@ def release(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a partition, and then trim(), once all that f held is free."""
+
+    def run(rows: Iterator) -> Iterator:
+        yield from f(rows)
+        trim()
+
+    return run
+
+
 #: Words of 64 bits of the bit map that thins out joins.
 MARKS = 1 << 19
 
@@ -117,16 +127,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each has about `most` bytes, or is one row; every row is kept."""
-    try:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            start = 0
-            while start < batch.num_rows:
-                end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-                end = min(max(end, start + 1), start + rows, batch.num_rows)
-                yield batch.slice(start, end - start)
-                start = end
-    finally:
-        trim()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Elements without text of the page, and elements of its frame. Fixed words of the markup language.
 RAW = ("script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "object", "canvas", "math", "select")
@@ -200,7 +200,7 @@ def ranges(keys: DataFrame, n: int) -> tuple[list[tuple], dict[int, tuple[tuple,
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["_range", *KEY])
 
     whole = F.struct(*KEY)
-    found = keys.select(*KEY).mapInArrow(bounds, "_range long, host string, path string, _id long, _tie long").groupBy("_range").agg(F.min(whole).alias("a"), F.max(whole).alias("z"))
+    found = keys.select(*KEY).mapInArrow(tidy(bounds), "_range long, host string, path string, _id long, _tie long").groupBy("_range").agg(F.min(whole).alias("a"), F.max(whole).alias("z"))
     return starts, {r._range: (tuple(r.a), tuple(r.z)) for r in found.collect()}
 
 
@@ -237,7 +237,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
                 rows += [(one, address, *key, to, True, *own) for to, end in zip(beside[at], ends[at]) if to is not None and key == end]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["page_id", "url", *KEY, "_range", "_guest", "lines", "zones"])
 
-    parsed = d.mapInArrow(parse, "page_id long, url string, host string, path string, _id long, _tie long, _range long, _guest boolean, lines array<string>, zones array<byte>")
+    parsed = d.mapInArrow(tidy(parse), "page_id long, url string, host string, path string, _id long, _tie long, _range long, _guest boolean, lines array<string>, zones array<byte>")
     near = W.partitionBy("_range").orderBy(*KEY)
     own = lambda f, c: F.when(f("host").over(near) == F.col("host"), f(c).over(near))
     paired = parsed.select("page_id", "url", "path", "lines", "zones", own(F.lag, "path").alias("p1"), own(F.lag, "lines").alias("l1"), own(F.lead, "path").alias("p2"), own(F.lead, "lines").alias("l2"), "_guest").where("not _guest").drop("_guest")
@@ -251,4 +251,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
                 gone.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    return paired.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_shared long")
+    return paired.mapInArrow(tidy(difference), "page_id long, url string, text string, n_chars long, n_shared long")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import materialize, slices, texts_of
+from .common import materialize, slices, texts_of, tidy
 
 PACKET, PMT_PID, ES_PID, PRIVATE = 188, 0x1000, 0x101, 0x06
 #: Bytes of an access unit, 90 kHz ticks between units, units between random-access points.
@@ -224,7 +224,7 @@ def write_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     d = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text")
-    return materialize(d.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", "zstd")
+    return materialize(d.mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
 
 def read_media(stored: DataFrame, keep_media: bool = False) -> DataFrame:
@@ -242,7 +242,7 @@ def read_media(stored: DataFrame, keep_media: bool = False) -> DataFrame:
                 rows.append(row + (media,) * keep_media)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts:long,random_access:boolean>>" + ", media binary" * keep_media)
+    return stored.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts:long,random_access:boolean>>" + ", media binary" * keep_media)
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of
+from .common import materialize, slices, texts_of, tidy
 from .token_counts import MARKS, load
 
 
@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     d = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text")
-    return d.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return d.mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2, shard_rows: int = 250_000, **names: str) -> DataFrame:
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     # The row's place among the written pieces parts repeated rows, which would all go to one shard.
     dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())).repartition(shards, "_h").sortWithinPartitions("length", "_h").drop("_h")
-    return full.unionByName(dealt.mapInArrow(place, schema))
+    return full.unionByName(dealt.mapInArrow(tidy(place), schema))

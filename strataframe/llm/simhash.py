@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parted, slices, texts_of
+from .common import materialize, parted, slices, texts_of, tidy
 from .graph import components
 
 LOW = np.uint64(0x5555555555555555)
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, doc_id: str = "
             fp = np.array([fingerprint(x, size, seed) for x in texts_of(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def unary(fp: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def links(distinct: DataFrame, radius: int = 4, keep: int = 3) -> DataFrame:
         if held:
             yield from done(*joined())
 
-    return cells.repartition("choice", "cell").sortWithinPartitions("choice", "cell").mapInArrow(link, "a long, b long").distinct()
+    return cells.repartition("choice", "cell").sortWithinPartitions("choice", "cell").mapInArrow(tidy(link), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

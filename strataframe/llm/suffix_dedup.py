@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import doc_keys, materialize, parted, release, slices, text_buffers, texts_of, trim
+from .common import doc_keys, materialize, parted, release, slices, text_buffers, texts_of, tidy
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at once.
@@ -248,7 +248,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((k1[doc], k2[doc], start + a, windows, anchor, whole), schema.types)], schema=schema)
 
-    return docs.where(F.octet_length("text") >= length).mapInArrow(find, "_k1 long, _k2 long, at long, windows int, anchor long, segment long")
+    return docs.where(F.octet_length("text") >= length).mapInArrow(tidy(find), "_k1 long, _k2 long, at long, windows int, anchor long, segment long")
 
 
 BODIES = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
@@ -272,7 +272,7 @@ def _cut(d: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(segment[some]), pa.array(copies[some]), pa.array(body, pa.binary())], schema=BODIES)
 
     maybe, _ = parted(d, ("_k1", "_k2"), wanted.select("_k1", "_k2"))
-    return maybe.join(lists, ["_k1", "_k2"]).select("text", "parts").mapInArrow(cut, BODY_ROWS)
+    return maybe.join(lists, ["_k1", "_k2"]).select("text", "parts").mapInArrow(tidy(cut), BODY_ROWS)
 
 
 def _mark(bodies: DataFrame, length: int, shard: int) -> DataFrame:
@@ -299,10 +299,9 @@ def _mark(bodies: DataFrame, length: int, shard: int) -> DataFrame:
                 size += len(body) + 1
         if keys:
             yield from index(keys, copies, bodies)
-        trim()
 
     dealt = bodies.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    return dealt.mapInArrow(mark, "anchor long, segment long, begins array<int>, ends array<int>")
+    return dealt.mapInArrow(tidy(mark), "anchor long, segment long, begins array<int>, ends array<int>")
 
 
 BLOCKS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("off", pa.int32()), ("group", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("place", pa.int32()), ("body", pa.binary())])
@@ -334,7 +333,7 @@ def _halved(rows: DataFrame, length: int, size: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), BLOCKS.types)], schema=BLOCKS)
 
-    return rows.mapInArrow(cut, BLOCK_ROWS)
+    return rows.mapInArrow(tidy(cut), BLOCK_ROWS)
 
 
 def _mark_large(bodies: DataFrame, length: int, shard: int, group_bytes: int) -> DataFrame:
@@ -443,7 +442,7 @@ def dedup(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     if keep:
-        return same.select("row.*").unionByName(hit.select(F.col(f"row.`{text}`").alias("text"), "spans", "row").mapInArrow(shorten, docs.schema))
+        return same.select("row.*").unionByName(hit.select(F.col(f"row.`{text}`").alias("text"), "spans", "row").mapInArrow(tidy(shorten), docs.schema))
     none = F.lit(None).cast(spans.schema["spans"].dataType)
     both = hit.select("row.text", "spans", "row.doc_id").unionByName(same.select("row.text", none.alias("spans"), "row.doc_id"))
-    return both.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:long,z:long>>")
+    return both.mapInArrow(tidy(report), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:long,z:long>>")

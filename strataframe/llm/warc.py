@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, tidy
 
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([b"".join(out)], pa.binary())], schema=schema)
 
-    return materialize(marked.mapInArrow(write, "records int, archive binary"), "warc")
+    return materialize(marked.mapInArrow(tidy(write), "records int, archive binary"), "warc")
 
 
 def read_archives(archives: DataFrame, chunk: int = 1 << 16) -> DataFrame:
@@ -141,7 +141,7 @@ def read_archives(archives: DataFrame, chunk: int = 1 << 16) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return archives.select("archive").mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return archives.select("archive").mapInArrow(tidy(read), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 SQL = """
