@@ -24,27 +24,29 @@ from .common import materialize, slices, texts_of, tidy
 from .token_counts import MARKS, load
 
 
+def alike(name: str) -> bool:
+    """Whether a tokenizer's file has byte-level BPE with the usual pattern and nothing else, and its merges stand in the
+    order of their ids: then tiktoken gives the same ids. Read on the driver."""
+    file = json.loads(load(name).to_str())
+    model, first = file["model"], file["pre_tokenizer"] or {}
+    plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if file["normalizer"] or model["type"] != "BPE" or not plain or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+        return False
+    ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    return None not in ids and ids == sorted(ids)
+
+
 class PieceIds(dict):
     """' word' -> its ids as little-endian bytes. A text may be cut before any single space that stands before a
     character that is not white space: the pattern of byte-level BPE begins a new pre-token there in any context.
     Misses are encoded by tiktoken from the same vocabulary and merge order, some twenty times faster than the library
-    does short strings, if the tokenizer's file says that both do the same; the first `verify` of each worker are
+    does short strings, if alike() says that both do the same; the first `verify` of each worker are
     compared with the library. Where either fails, the library encodes whole texts."""
 
-    def __init__(self, name: str, most: int, verify: int = 200):
+    def __init__(self, name: str, most: int, same: bool, verify: int = 200):
         super().__init__()
         self.most, self.verify, self.tokenizer = most, verify, load(name)
-        self.fast = self._fast() if self.alike() else None
-
-    def alike(self) -> bool:
-        """Byte-level BPE with the usual pattern and nothing else, whose merges stand in the order of their ids."""
-        file = json.loads(self.tokenizer.to_str())
-        model, first = file["model"], file["pre_tokenizer"] or {}
-        plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        if file["normalizer"] or model["type"] != "BPE" or not plain or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
-            return False
-        ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
-        return None not in ids and ids == sorted(ids)
+        self.fast = self._fast() if same else None
 
     def _fast(self):
         import tiktoken
@@ -134,13 +136,14 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = 200_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = 100_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
+    same = alike(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, encoder = np.array([end_id], "<u4").tobytes(), None
         for b in slices(batches, "text"):
-            encoder = encoder or PieceIds(tokenizer, cache)
+            encoder = encoder or PieceIds(tokenizer, cache, same)
             rows: list[list] = [[], [], [], [], []]
             for doc, raw in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
                 ids = encoder.encode(raw.decode()) + end if raw else end

@@ -37,7 +37,7 @@ from .common import doc_keys, materialize, parted, release, slices, text_buffers
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -364,7 +364,7 @@ def _mark_large(bodies: DataFrame, length: int, shard: int, group_bytes: int) ->
         release(larger.sparkSession, larger)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 18, shard: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 18, shard: int = 1 << 19, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with keys _k1 and _k2 and text, spans per key as an array of (begin, end) that may overlap)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -456,6 +456,19 @@ def test_packing_is_gapless_and_exact(odd):
         assert all(m[2] == 1024 for m in mine[1:])
 
 
+def test_encoders_that_differ(monkeypatch):
+    # Where the encoders differ, the library encodes; the word tokenizer's file says that they would.
+    assert packing.alike("byte_bpe_50k.json") and not packing.alike("word_bpe_49k.json")
+    e = packing.PieceIds("byte_bpe_50k.json", 100, True)
+    text = "some words, of which one differs"
+    want = e.whole(text)
+    assert e.encode(text) == want and e.fast is not None
+    e = packing.PieceIds("byte_bpe_50k.json", 100, True)
+    e.fast.encode_ordinary = lambda piece: [1]
+    assert e.encode(text) == want and e.fast is None and e.encode(text) == want
+    assert packing.PieceIds("byte_bpe_50k.json", 100, False).encode(text) == want
+
+
 # op5
 
 
