@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataframe.llm import mixing, packing, quality, simhash, suffix_dedup
-from strataframe.llm.common import bounded_batches, materialize, table
+from strataframe.llm.common import lean_python, materialize, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    bounded_batches(spark)
+    lean_python(spark)
     return quality.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), keep=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    bounded_batches(spark)
+    lean_python(spark)
     return simhash.keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that repeat are cut from the texts."""
-    bounded_batches(spark)
+    lean_python(spark)
     return suffix_dedup.dedup(docs, keep=True)
 
 
@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens from all pieces; repeated documents are packed each."""
-    bounded_batches(spark)
+    lean_python(spark)
     return packing.pack(docs)
 
 
