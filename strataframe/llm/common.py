@@ -33,11 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Have Spark send Python batches of at most so many rows: whole texts make the default of 10,000 rows large buffers."""
+def lean_python(spark: SparkSession, rows: int = 2048) -> None:
+    """Bound the memory of Python workers. Batches have at most so many rows: whole texts make the default of 10,000 large
+    buffers. One pool of workers serves SQL and RDD stages: pools are kept apart by the workers' environment, in which
+    short tracebacks are the difference."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", False)
 
 
 def trim() -> None:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, mixing, mpegts, packing, quality, simhash, suffix_dedup, token_counts, warc
-from .common import bounded_batches
+from .common import lean_python
 from .common import table as _table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    bounded_batches(spark)
+    lean_python(spark)
     return _table(spark, sf_dir, name, *cols)
 
 
