@@ -616,6 +616,19 @@ def test_mixing_targets(spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(d.repartition(5)).collect()))
 
 
+def test_repetitions_follow_the_mix(spark, odd):
+    # Also where the last document taken is one of several equal rows, and without a broadcast.
+    many = spark.createDataFrame([(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(90)] + [(500, "w w w", "b")] * 200 + [(None, "no id", None)] * 5, "doc_id long, text string, source string")
+    for d in (many, odd):
+        want = collections.Counter()
+        for x in mixing.mix(d).collect():
+            want[x.doc_id, x.source] += x.copies
+        for most in (100_000, 0):
+            got = mixing.repeat(d, sources_most=most)
+            assert got.columns == d.columns and collections.Counter((x.doc_id, x.source) for x in got.collect()) == +want
+    assert 0 < want[3, "s1"]
+
+
 # op8
 
 
