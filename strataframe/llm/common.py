@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def lean_python(spark: SparkSession, rows: int = 2048) -> None:
+def lean_python(spark: SparkSession, rows: int = 512) -> None:
     """Bound the memory of Python workers. Batches have at most so many rows: whole texts make the default of 10,000 large
     buffers. One pool of workers serves SQL and RDD stages: pools are kept apart by the workers' environment, in which
     short tracebacks are the difference."""
