@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..storage import materialize
 from .ranks import UP
 
 
@@ -31,23 +32,25 @@ def decile_bins(df: DataFrame, x: str, by: list[str], n: int = 10, name: str = "
 
 
 def balanced_draws(df: DataFrame, positive: Column, x: str, by: list[str], key: str, replicates: int, seed: int = 42, score: str = "score") -> DataFrame:
-    """Rows (by, replicate, score, positive): positives of each bin, and as many negatives drawn with replacement from
-    the same bin. Negatives are numbered once per bin; a draw is a hash of seed, cell, replicate and positive, then an
-    equi-join on the number. Bins without negatives drop out with their positives."""
-    d = decile_bins(df.withColumn("_pos", positive), x, by).select(*by, "bin", "_pos", key, score)
+    """(by, replicate, auroc): positives of each bin against as many negatives drawn with replacement from the same bin; bins
+    without negatives drop out with their positives. Since all replicates have the same positives, an AUROC is the mean
+    over its draws of the share of positives above the negative, which each negative gets once; no replicate is ranked. Negatives are
+    numbered once per bin; a draw is a hash of seed, cell, replicate and positive, then an equi-join on the number."""
     cell = [*by, "bin"]
-    negative = d.where(~F.col("_pos")).withColumn("_i", F.row_number().over(W.partitionBy(*cell).orderBy(key)).cast("long")).select(*cell, "_i", F.col(score).alias("_neg"))
-    sizes = negative.groupBy(*cell).agg(F.max("_i").alias("_n"))
-    pos = d.where("_pos").join(sizes, cell).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pos = pos.withColumn("_i", draw(F.concat_ws("|", F.lit(seed), *by, F.col("bin"), F.col("replicate"), F.col(key)), F.col("_n")))
-    pairs = pos.join(negative, [*cell, "_i"])
-    sides = F.explode(F.array(F.struct(F.col(score).alias("s"), F.lit(True).alias("p")), F.struct(F.col("_neg").alias("s"), F.lit(False).alias("p"))))
-    return pairs.select(*by, "replicate", sides.alias("_x")).select(*by, "replicate", F.col("_x.s").alias("score"), F.col("_x.p").alias("positive"))
-
-
-def bootstrap_auroc(df: DataFrame, positive: Column, x: str, by: list[str], key: str, replicates: int = 20, least: int = 10, seed: int = 42, score: str = "score") -> DataFrame:
-    draws = balanced_draws(df, positive, x, by, key, replicates, seed, score)
-    each = auroc(draws, "score", F.col("positive"), [*by, "replicate"]).where("auroc is not null")
+    d = materialize(decile_bins(df.withColumn("_pos", positive), x, by).select(*cell, "_pos", key, score), "bins")
+    sizes = d.where(~F.col("_pos")).groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    d = d.join(sizes, cell)
+    values = d.groupBy(*by, score).agg(F.count_if(F.col("_pos")).alias("_p"))
+    above = F.sum("_p").over(W.partitionBy(*by)) - F.sum("_p").over(W.partitionBy(*by).orderBy(score).rowsBetween(*UP))
+    share = values.select(*by, F.col(score).alias("_s"), F.try_divide(above + F.col("_p") / 2.0, F.sum("_p").over(W.partitionBy(*by))).alias("_g"))
+    negative = d.where(~F.col("_pos")).withColumn("_i", F.row_number().over(W.partitionBy(*cell).orderBy(key)).cast("long")).withColumnRenamed(score, "_s").join(share, [*by, "_s"]).select(*cell, "_i", "_g")
+    drawn = d.where("_pos").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.select(*cell, "replicate", draw(F.concat_ws("|", F.lit(seed), *by, F.col("bin"), F.col("replicate"), F.col(key)), F.col("_n")).alias("_i"))
+    return drawn.join(negative, [*cell, "_i"]).groupBy(*by, "replicate").agg(F.avg("_g").alias("auroc"))
+
+
+def bootstrap_auroc(df: DataFrame, positive: Column, x: str, by: list[str], key: str, replicates: int = 100, least: int = 10, seed: int = 42, score: str = "score") -> DataFrame:
+    each = balanced_draws(df, positive, x, by, key, replicates, seed, score).where("auroc is not null")
     return each.groupBy(*by).agg(F.count(F.lit(1)).alias("draws"), F.avg("auroc").alias("mean"), F.stddev_pop("auroc").alias("sd"), F.percentile("auroc", F.lit(0.025)).alias("low"), F.percentile("auroc", F.lit(0.975)).alias("high")).where(F.col("draws") >= least)
 
 

@@ -39,3 +39,31 @@ def require(ledger_rows: DataFrame) -> None:
 def required_columns(df: DataFrame, *columns: str) -> None:
     if lacking := [c for c in columns if c not in df.columns]:
         raise ValueError("columns missing: " + ", ".join(lacking))
+
+
+def homogeneous(df: DataFrame, name: str, column: str, allowed: list) -> DataFrame:
+    """Only these values occur."""
+    return check(df, name, F.col(column).isNull() | ~F.col(column).isin(allowed))
+
+
+def cardinality(df: DataFrame, name: str, expected: int) -> DataFrame:
+    """Details: rows beyond or short of the expected number."""
+    return df.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(name).alias("check"), F.when(F.col("_n") == expected, "pass").otherwise("fail").alias("status"), F.abs(F.col("_n") - expected).alias("details"))
+
+
+def partition(whole: DataFrame, parts: DataFrame, name: str, key: str) -> DataFrame:
+    """Every key of the whole is in the parts once, and no other."""
+    n = whole.select(F.col(key).alias("_k")).join(parts.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c")), "_k", "full").select(F.coalesce("_c", F.lit(0)).alias("_c"))
+    outside = parts.join(whole, key, "left_anti").select(F.lit(2).alias("_c"))
+    return check(n.unionByName(outside), name, F.col("_c") != 1)
+
+
+def within(df: DataFrame, name: str, column: str, most: float) -> DataFrame:
+    """A gate: no value beyond the bound in either direction."""
+    return check(df, name, F.abs(F.col(column)) > most)
+
+
+def agreement(a: DataFrame, b: DataFrame, name: str, key: str, column: str) -> DataFrame:
+    """Keys of both whose values differ."""
+    both = a.select(key, F.col(column).alias("_a")).join(b.select(key, F.col(column).alias("_b")), key)
+    return check(both, name, ~F.col("_a").eqNullSafe(F.col("_b")))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .ranks import midrank
+from ..storage import materialize
+from .ranks import ranged_midrank
 
 
 def grouping_sets(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,7 +19,8 @@ def grouping_sets(df: DataFrame, a: str, b: str) -> DataFrame:
 def concordance(df: DataFrame, a: str, b: str, x: str, y: str, least: int = 10) -> DataFrame:
     """Per group: n, Pearson and Spearman correlation with an interval, sign concordance with an interval."""
     rows = grouping_sets(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(a, b, x, y), a, b)
-    rows = rows.withColumn("_rx", midrank(x, ["g1", "g2"])).withColumn("_ry", midrank(y, ["g1", "g2"]))
+    rows = materialize(rows.select("g1", "g2", x, y), "cube")
+    rows = ranged_midrank(ranged_midrank(rows, x, ["g1", "g2"], "_rx"), y, ["g1", "g2"], "_ry")
     out = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), stats.correlation(x, y).alias("pearson"), stats.correlation("_rx", "_ry").alias("spearman"), F.avg(stats.concordant(F.col(x), F.col(y)).cast("double")).alias("concordance")).where(F.col("n") >= least)
     n, r, c = F.col("n"), F.col("spearman"), F.col("concordance")
     return out.select("g1", "g2", "n", "pearson", "spearman", stats.fisher_z(r, n, -1).alias("rho_low"), stats.fisher_z(r, n, 1).alias("rho_high"), "concordance", stats.wald(c, n, -1).alias("conc_low"), stats.wald(c, n, 1).alias("conc_high"))

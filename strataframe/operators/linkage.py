@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, release
+
 
 def symmetric(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sides = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
@@ -52,3 +54,29 @@ def pair_r2(vectors: DataFrame, group: str, key: str, values: str) -> DataFrame:
     other = d.select(group, F.col(key).alias("b"), F.col("_c").alias("_d"), F.col("_n").alias("_m"))
     dot = F.aggregate(F.zip_with("_c", "_d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return d.withColumnRenamed(key, "a").join(other, group).where("a < b").select(group, "a", "b", F.when((F.col("_n") > 0) & (F.col("_m") > 0), dot * dot / (F.col("_n") * F.col("_m"))).alias("r2"))
+
+
+def windowed(edges: DataFrame, distance: str, windows: tuple[int, ...], cuts: tuple[float, ...] = (0.8, 0.5, 0.2)) -> DataFrame:
+    """Per node and window of distance: links over each cut-off and the strongest."""
+    sides = F.array(F.struct(F.col("a").alias("a")), F.struct(F.col("b").alias("a")))
+    reach = F.filter(F.array(*map(F.lit, windows)), lambda w: F.col(distance) <= w)
+    d = edges.select(F.explode(sides).alias("_e"), "r2", distance).select("_e.a", "r2", F.explode(reach).alias("window"))
+    return d.groupBy("a", "window").agg(*[F.count_if(F.col("r2") >= c).alias(f"over_{int(c * 100)}") for c in cuts], F.max("r2").alias("strongest"))
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """edges (a, b) -> (node, component): the least node reachable. Each round takes the least label among neighbours, then that
+    label's own; labels are written to the shared folder each round, and nothing is collected."""
+    spark = edges.sparkSession
+    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("component")), "labels")
+    for _ in range(most):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "_near").alias("_new"), F.col("component").alias("_old"))
+        own = labels.select(F.col("node").alias("_n"), F.col("component").alias("_l"))
+        new = materialize(step.join(own, F.col("_new") == F.col("_n"), "left").select("node", F.least("_new", F.coalesce("_l", "_new")).alias("component"), "_old"), "labels")
+        release(spark, labels)
+        labels = new.select("node", "component")
+        if new.where("component <> _old").isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")

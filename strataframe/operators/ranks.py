@@ -13,6 +13,16 @@ def midrank(x: str, by: list[str]) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
+def ranged_midrank(df: DataFrame, x: str, by: list[str], name: str, ranges: int = 256) -> DataFrame:
+    """midrank() for groups of any size: a group is cut into ranges of values at approximate quantiles, ranks are taken within a
+    range, and the rows of the ranges before it are added."""
+    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).alias("_edges"))
+    d = df.join(edges, by).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = d.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).select(*by, "_range", before.alias("_before"))
+    return d.join(starts, [*by, "_range"]).withColumn(name, F.col("_before") + midrank(x, [*by, "_range"])).drop("_before", "_range")
+
+
 def ordinal(by: list[str], *order: Column) -> Column:
     return F.row_number().over(W.partitionBy(*by).orderBy(*order))
 
@@ -57,3 +67,11 @@ def weighted_quantile(df: DataFrame, x: str, w: str, by: list[str], share: float
     d = df.groupBy(*by, x).agg(F.sum(w).alias("_w"))
     win = W.partitionBy(*by)
     return d.withColumn("_c", F.sum("_w").over(win.orderBy(x).rowsBetween(*UP))).withColumn("_t", F.sum("_w").over(win)).where(F.col("_c") >= share * F.col("_t")).groupBy(*by).agg(F.min(x).alias(name))
+
+
+def combined(df: DataFrame, by: list[str], p: str) -> DataFrame:
+    """Simes' and the Cauchy combination of a group's p-values."""
+    w = W.partitionBy(*by)
+    d = df.where(F.col(p).isNotNull()).withColumn("_q", F.col(p) * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy(p)))
+    clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p)))
+    return d.groupBy(*by).agg(F.least(F.lit(1.0), F.min("_q")).alias("simes"), (0.5 - F.atan(F.avg(F.tan((0.5 - clipped) * F.pi()))) / F.pi()).alias("acat"))

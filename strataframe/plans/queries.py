@@ -270,8 +270,9 @@ def multiple_testing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT gene, round(least(1, min(p * n / i)), 6) AS simes, round(0.5 - atan(avg(tan((0.5 - greatest(1e-15, least(1 - 1e-15, p))) * pi()))) / pi(), 6) AS acat FROM g GROUP BY 1
 """)
 def combined_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = scored(spark, sf_dir).groupBy("gene").agg(F.array_sort(F.collect_list("pvalue")).alias("ps"))
-    return g.select("gene", r(stats.simes(F.col("ps")), "simes"), r(stats.acat(F.col("ps")), "acat"))
+    """By rank and by sum, without a list of a gene's values."""
+    d = scored(spark, sf_dir).select("gene", "pvalue")
+    return ranks.combined(d, ["gene"], "pvalue").select("gene", r("simes"), r("acat"))
 
 
 @query("""
@@ -335,7 +336,7 @@ DRAW = "(('0x' || substr(sha256({}), 1, 8))::UBIGINT % {} + 1)::BIGINT"
 e AS (SELECT ancestry, list_distinct(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM c GROUP BY 1),
 b AS (SELECT c.*, greatest(1, len(list_filter(edges, lambda z: z < x)))::BIGINT AS bin FROM c JOIN e USING (ancestry)),
 neg AS (SELECT ancestry, bin, s, row_number() OVER (PARTITION BY ancestry, bin ORDER BY pair_key) AS i FROM b WHERE NOT pos), sz AS (SELECT ancestry, bin, max(i) AS n FROM neg GROUP BY 1, 2),
-d AS (SELECT b.ancestry, b.bin, rep, b.s, """ + DRAW.format("'42|' || b.ancestry || '|' || b.bin || '|' || rep || '|' || b.pair_key", "n") + """ AS i FROM b JOIN sz ON b.ancestry = sz.ancestry AND b.bin = sz.bin, (SELECT unnest(range(1, 21)) AS rep) WHERE b.pos),
+d AS (SELECT b.ancestry, b.bin, rep, b.s, """ + DRAW.format("'42|' || b.ancestry || '|' || b.bin || '|' || rep || '|' || b.pair_key", "n") + """ AS i FROM b JOIN sz ON b.ancestry = sz.ancestry AND b.bin = sz.bin, (SELECT unnest(range(1, 101)) AS rep) WHERE b.pos),
 j AS (SELECT d.ancestry, rep, d.s AS ps, neg.s AS ns FROM d JOIN neg ON d.ancestry = neg.ancestry AND d.bin = neg.bin AND d.i = neg.i),
 l AS (SELECT ancestry, rep, ps AS s, true AS pos FROM j UNION ALL SELECT ancestry, rep, ns, false FROM j),
 k AS (SELECT *""" + RANKED.format(by="ancestry, rep", x="s") + """ FROM l),
@@ -345,13 +346,13 @@ SELECT ancestry, count(*) AS draws, round(avg(a), 6) AS mean, round(stddev_pop(a
 def distance_matched_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: AUROC over distance-balanced resamples."""
     d = scored(spark, sf_dir).where("pip >= 0.5 or pip < 0.01").select("ancestry", "pair_key", F.abs("borzoi").alias("score"), "pip", bins.log_distance(F.col("distance")).alias("x"))
-    out = auroc.bootstrap_auroc(d, F.col("pip") >= 0.5, "x", ["ancestry"], "pair_key", 20)
+    out = auroc.bootstrap_auroc(d, F.col("pip") >= 0.5, "x", ["ancestry"], "pair_key", 100)
     return out.select("ancestry", "draws", *map(r, ("mean", "sd", "low", "high")))
 
 
 @query("""
 , c AS (SELECT DISTINCT ancestry, gene FROM scored), i AS (SELECT *, row_number() OVER (PARTITION BY ancestry ORDER BY gene) AS i, count(*) OVER (PARTITION BY ancestry) AS n FROM c),
-m AS (SELECT ancestry, rep, """ + DRAW.format("'42|' || ancestry || '|' || rep || '|' || i", "n") + """ AS j FROM i, (SELECT unnest(range(1, 31)) AS rep)),
+m AS (SELECT ancestry, rep, """ + DRAW.format("'42|' || ancestry || '|' || rep || '|' || i", "n") + """ AS j FROM i, (SELECT unnest(range(1, 1001)) AS rep)),
 s AS (SELECT ancestry, gene, sum(weight) FILTER (pip >= 0.5) AS top, sum(weight) AS total FROM scored GROUP BY 1, 2),
 b AS (SELECT m.ancestry, rep, sum(coalesce(top, 0)) / sum(total) AS x FROM m JOIN i ON m.ancestry = i.ancestry AND m.j = i.i JOIN s ON s.ancestry = i.ancestry AND s.gene = i.gene GROUP BY 1, 2)
 SELECT ancestry, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS se, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM b GROUP BY 1
@@ -359,17 +360,26 @@ SELECT ancestry, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS se, round
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scored(spark, sf_dir)
     sums = d.groupBy("ancestry", "gene").agg(F.sum(F.when(F.col("pip") >= 0.5, F.col("weight")).otherwise(0.0)).alias("top"), F.sum("weight").alias("total"))
-    x = auroc.bootstrap_ratio(sums, auroc.multiplicities(d, "gene", ["ancestry"], 30), "gene", ["ancestry"], "top", "total")
+    x = auroc.bootstrap_ratio(sums, auroc.multiplicities(d, "gene", ["ancestry"], 1000), "gene", ["ancestry"], "top", "total")
     return x.groupBy("ancestry").agg(r(F.avg("ratio"), "mean"), r(F.stddev_samp("ratio"), "se"), r(F.percentile("ratio", F.lit(0.025)), "low"), r(F.percentile("ratio", F.lit(0.975)), "high"))
 
 
-@query()
+@query("""
+, c AS (SELECT DISTINCT gene FROM scored), i AS (SELECT gene, row_number() OVER (ORDER BY gene) AS i, count(*) OVER () AS n FROM c),
+m AS (SELECT rep, """ + DRAW.format("'42|all|' || rep || '|' || i", "n") + """ AS j FROM i, (SELECT unnest(range(1, 1001)) AS rep)),
+s AS (SELECT ancestry, gene, avg(borzoi) AS top FROM scored GROUP BY 1, 2),
+v AS (SELECT ancestry, rep, avg(top) AS v FROM m JOIN i ON m.j = i.i JOIN s ON s.gene = i.gene GROUP BY 1, 2),
+d AS (SELECT a.ancestry || '-' || b.ancestry AS contrast, a.v - b.v AS d FROM v a JOIN v b ON a.rep = b.rep AND a.ancestry < b.ancestry),
+p AS (SELECT contrast, avg(d) AS mean, least(1, 2 * least((count(*) FILTER (d <= 0) + 1) / (count(*) + 1)::DOUBLE, (count(*) FILTER (d >= 0) + 1) / (count(*) + 1)::DOUBLE)) AS p FROM d GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY p, contrast) AS rk, count(*) OVER () AS n FROM p)
+SELECT contrast, round(mean, 6) AS mean, round(p, 6) AS p, round(least(1, max(p * (n - rk + 1)) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING)), 6) AS holm FROM k
+""")
 def group_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired differences of groups over shared replicates, sign p and Holm within the family."""
     d = scored(spark, sf_dir)
     sums = d.groupBy("ancestry", "gene").agg(F.avg("borzoi").alias("top"), F.lit(1.0).alias("total"))
     genes = d.select(F.lit("all").alias("family"), "gene").distinct()
-    x = sums.join(auroc.multiplicities(genes, "gene", ["family"], 50), "gene").groupBy("ancestry", "replicate").agg((F.sum(F.col("m") * F.col("top")) / F.sum(F.col("m") * F.col("total"))).alias("v"))
+    x = sums.join(auroc.multiplicities(genes, "gene", ["family"], 1000), "gene").groupBy("ancestry", "replicate").agg((F.sum(F.col("m") * F.col("top")) / F.sum(F.col("m") * F.col("total"))).alias("v"))
     wide = x.groupBy("replicate").pivot("ancestry", ["AA", "CH", "NHW"]).agg(F.first("v"))
     pairs = wide.select("replicate", F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), (F.col(a) - F.col(b)).alias("d")) for a, b in (("AA", "CH"), ("AA", "NHW"), ("CH", "NHW"))])).alias("c")).select("c.*")
     return ranks.holm(pairs.groupBy("contrast").agg(F.avg("d").alias("mean"), stats.sign_p(F.col("d")).alias("p")).withColumn("family", F.lit(1)), "p", ["family"], "contrast").select("contrast", r("mean"), r("p"), r("holm"))
@@ -441,7 +451,15 @@ def conditional_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("ancestry", r("x.odds", "odds"), r("x.low", "low"), r("x.high", "high"))
 
 
-@query()
+@query("""
+, t AS (SELECT ancestry, count(*) FILTER (tss_bin = '0-3kb' AND pip >= 0.5) AS a, count(*) FILTER (tss_bin = '0-3kb' AND pip < 0.5) AS b, count(*) FILTER (tss_bin <> '0-3kb' AND pip >= 0.5) AS c, count(*) FILTER (tss_bin <> '0-3kb' AND pip < 0.5) AS d FROM scored GROUP BY 1),
+x AS (SELECT *, unnest(range(greatest(0, a - d)::BIGINT, least(a + b, a + c)::BIGINT + 1)) AS x FROM t),
+l AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lp FROM x),
+f AS (SELECT ancestry, least(1, sum(exp(lp)) FILTER (lp <= here + 1e-7)) AS fisher FROM (SELECT *, max(lp) FILTER (x = a) OVER (PARTITION BY ancestry) AS here FROM l) GROUP BY 1),
+z AS (SELECT ancestry, abs(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))) / sqrt(2.0::DOUBLE) AS z FROM t),
+e AS (SELECT ancestry, 1 - 2 / sqrt(pi()) * sum((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(greatest(z, 1e-12)) - lgamma(k + 1)) / (2 * k + 1)) AS z_p FROM z, (SELECT unnest(range(0, 80)) AS k) GROUP BY 1)
+SELECT ancestry, round(fisher, 6) AS fisher, round(z_p, 6) AS z_p FROM f JOIN e USING (ancestry)
+""")
 def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = contingency(spark, sf_dir)
     return d.select("ancestry", r(stats.fisher_exact("a", "b", "c", "d"), "fisher"), r(stats.normal_p(F.log("odds")), "z_p"))
@@ -468,7 +486,16 @@ def clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.clump(nodes, _edges(spark, sf_dir), "label", "vec_id", "priority", 0.1).withColumn("r2", r("r2"))
 
 
-@query()
+#: Links of embeddings within their label, both ways.
+LINKS = """
+WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, unnest(a.e) AS x, unnest(b.e) AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id),
+k AS (SELECT a, b, pow(corr(x, y), 2) AS r2 FROM u GROUP BY a, b HAVING pow(corr(x, y), 2) >= 0.1),
+t AS (SELECT a, b, r2 FROM k UNION ALL SELECT b, a, r2 FROM k)
+"""
+
+
+@query(LINKS + "SELECT a, count(*) AS neighbours, round(1 + sum(r2), 6) AS score, round(max(r2), 6) AS strongest, count(*) FILTER (r2 >= 0.8) AS over_80, count(*) FILTER (r2 >= 0.5) AS over_50, count(*) FILTER (r2 >= 0.2) AS over_20 FROM t GROUP BY 1", False)
 def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = linkage.degrees(_edges(spark, sf_dir))
     return d.withColumns({c: r(c) for c in ("score", "strongest")})

@@ -269,3 +269,44 @@ def test_ablation(spark):
         assert name == "s" or all(r.gap <= 0.1 for r in m)
     n = {s: (sum(r[1] == s and r[2] == 1 for r in rows), sum(r[1] == s and r[2] == 0 for r in rows)) for s in "xy"}
     assert sum(r.covariates == "s" for r in got) == sum(min(v) for v in n.values())
+
+
+def test_ranged_midranks(spark):
+    import random
+
+    from strataframe.operators import ranks
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([0.0, 1.0, rng.random()])) for _ in range(900)]
+    d = ranks.ranged_midrank(spark.createDataFrame(rows, "g string, x double"), "x", ["g"], "rank", 16)
+    for g in "ab":
+        values = sorted(x for k, x in rows if k == g)
+        want = {x: (2 * values.index(x) + 1 + values.count(x)) / 2 for x in values}
+        got = d.where(d.g == g).collect()
+        assert len(got) == len(values) and all(r["rank"] == want[r.x] for r in got)
+
+
+def test_components_and_partition(spark):
+    from strataframe.operators import contracts, linkage
+
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 102), (102, 101), (7, 7)]
+    got = {r.node: r.component for r in linkage.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100, 102: 100}
+    assert linkage.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    for parts, bad in (([1, 2, 3], 0), ([1, 2], 1), ([1, 2, 3, 3], 1), ([1, 2, 3, 4], 1)):
+        assert contracts.partition(keys, spark.createDataFrame([(x,) for x in parts], "k long"), "p", "k").first().details == bad
+
+
+def test_text_and_rows(spark):
+    from strataframe import storage
+    from strataframe.functions import text
+
+    d = spark.createDataFrame([(1, 2, None, 3)], "a_x int, a_y int, b int, old int")
+    assert text.merged_suffixes(d).columns == ["b", "old", "a"] and text.renamed(d, {"old": "new", "none": "x"}).columns == ["a_x", "a_y", "b", "new"]
+    assert text.renamed(d, {"b": "old"}).first().old == 3 and text.preferred(d, ["old", "zz", "b"]).columns == ["old", "b"] and text.without_empty(d).columns == ["a_x", "a_y", "old"]
+    path = storage.fresh(spark, "published")
+    for n in (3, 5):  # the second replaces the first
+        storage.publish(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert storage.summary(spark.range(4).selectExpr("count(*) z", "max(id) a"), storage.fresh(spark, "summary")).first().asDict() == {"a": 3, "z": 4}
