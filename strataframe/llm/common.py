@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, release, shared_dir  # noqa: F401  the other modules take them from here
+
 #: White space of the word rule; bytes.split() and bytes.lower() of Python cut and fold by the same ASCII rule.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,21 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one under /tmp serves a session
-    whose executors are threads of the driver; a cluster has to name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file:///tmp/strataframe-shared"
-    return path.rstrip("/")
-
-
 def lean_python(spark: SparkSession, rows: int = 512) -> None:
     """Bound the memory of Python workers. Batches have at most so many rows: whole texts make the default of 10,000 large
-    buffers. One pool of workers serves SQL and RDD stages: pools are kept apart by the workers' environment, in which
-    short tracebacks are the difference."""
+    buffers. Pools of workers are kept apart by their environment; without short tracebacks, which only SQL sets there,
+    one pool can serve SQL and RDD stages."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
@@ -52,23 +41,6 @@ def trim() -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write df to the application's part of the shared folder as Parquet and read it back: cuts lineage, survives lost
-    executors, and keeps costly Python stages from running twice. What release() has not deleted goes with that folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a materialized frame that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f over a partition, and then trim(), once all that f held is free."""
 
