@@ -13,7 +13,7 @@ def midrank(x: str, by: list[str]) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
-def ranged_midrank(df: DataFrame, x: str, by: list[str], name: str, ranges: int = 256) -> DataFrame:
+def ranged_midrank(df: DataFrame, x: str, by: list[str], name: str, ranges: int = 64) -> DataFrame:
     """midrank() for groups of any size: a group is cut into ranges of values at approximate quantiles, ranks are taken within a
     range, and the rows of the ranges before it are added."""
     edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).alias("_edges"))
