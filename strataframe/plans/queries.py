@@ -497,7 +497,7 @@ t AS (SELECT a, b, r2 FROM k UNION ALL SELECT b, a, r2 FROM k)
 
 @query(LINKS + "SELECT a, count(*) AS neighbours, round(1 + sum(r2), 6) AS score, round(max(r2), 6) AS strongest, count(*) FILTER (r2 >= 0.8) AS over_80, count(*) FILTER (r2 >= 0.5) AS over_50, count(*) FILTER (r2 >= 0.2) AS over_20 FROM t GROUP BY 1", False)
 def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = linkage.degrees(_edges(spark, sf_dir))
+    d = linkage.pair_degrees(table(spark, sf_dir, "embeddings", "label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.1)
     return d.withColumns({c: r(c) for c in ("score", "strongest")})
 
 
