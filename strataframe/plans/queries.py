@@ -472,12 +472,8 @@ u AS (SELECT label, a, b, unnest(x) AS x, unnest(y) AS y FROM p), k AS (SELECT l
 SELECT label, count(*) AS pairs, round(avg(r2), 6) AS mean, round(max(r2), 6) AS top FROM k GROUP BY 1
 """.replace(" WHERE vec_id % 1 = 0", "").replace("\n, v", "\nWITH v", 1), False)
 def pairwise_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = linkage.pair_r2(table(spark, sf_dir, "embeddings", "label", "vec_id", "embedding"), "label", "vec_id", "embedding")
-    return p.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), r(F.avg("r2"), "mean"), r(F.max("r2"), "top"))
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.pair_r2(table(spark, sf_dir, "embeddings", "label", "vec_id", "embedding"), "label", "vec_id", "embedding").where("r2 >= 0.1")
+    p = linkage.pair_summary(table(spark, sf_dir, "embeddings", "label", "vec_id", "embedding"), "label", "vec_id", "embedding")
+    return p.select("label", "pairs", r("mean"), r("top"))
 
 
 @query()
