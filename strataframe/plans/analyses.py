@@ -320,7 +320,7 @@ def permutation_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINKS + ", w AS (SELECT a, window_, r2 FROM (SELECT a, abs(a - b) AS d, r2 FROM t), (SELECT unnest([50, 200]) AS window_) WHERE d <= window_) SELECT a, window_ AS \"window\", count(*) FILTER (r2 >= 0.8) AS over_80, count(*) FILTER (r2 >= 0.5) AS over_50, count(*) FILTER (r2 >= 0.2) AS over_20, round(max(r2), 6) AS strongest FROM w GROUP BY 1, 2", False)
 def windowed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = linkage.pair_r2(table(spark, sf_dir, "embeddings", "label", "vec_id", "embedding"), "label", "vec_id", "embedding").where("r2 >= 0.1").withColumn("distance", F.abs(F.col("a") - F.col("b")))
+    e = linkage.pair_links(table(spark, sf_dir, "embeddings", "label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.1, 200).withColumn("distance", F.abs(F.col("a") - F.col("b")))
     return linkage.windowed(e, "distance", (50, 200)).withColumn("strongest", r("strongest"))
 
 
