@@ -62,3 +62,47 @@ def test_clumps_of_vectors(spark):
     want = {(r.g, r.k): (r["index"], round(r.r2, 6)) for r in linkage.clump(nodes, edges, "g", "k", "p", 0.3).collect()}
     got = {(r.g, r.k): (r["index"], round(r.r2, 6)) for r in linkage.clump_vectors(nodes, "g", "k", "p", "v", 0.3, 4).collect()}
     assert got == want and len(got) == 94
+
+
+def plain_matches(rows, calipers, k):
+    """(key, gene, positive, hash, covariates) -> {positive: controls}, with all candidates listed."""
+    near = {p[0]: [c for c in rows if not c[2] and all(abs(x - y) <= z for x, y, z in zip(p[4], c[4], calipers))] for p in rows if p[2]}
+    used, out = set(), {}
+    for p in sorted((r for r in rows if r[2]), key=lambda r: (len(near[r[0]]), r[3], r[0])):
+        c = sorted(near[p[0]], key=lambda c: (2 * (c[0] in used) + (c[1] != p[1]), c[3], c[0]))[:k]
+        out[p[0]] = [(c[0], c[1] == p[1], c[0] in used) for c in c]
+        used |= {c[0] for c in c}
+    return out
+
+
+def test_matching_against_listed_candidates(spark):
+    import hashlib
+
+    from strataframe.operators import matching
+
+    rng = random.Random(8)
+    draw = {"few": lambda: (rng.choice([0.0, 0.5, 1.0, 1.6]), rng.choice([0.1, 0.2, 0.3])), "any": lambda: (rng.random() * 4, rng.random())}
+    rows = [(s, f"{s}{i}", rng.choice([1, 2, 3]), rng.random() < 0.3, *f()) for s, f in draw.items() for i in range(150)]
+    d = spark.createDataFrame(rows, "s string, k string, g int, p boolean, x double, y double")
+    got = {}
+    for r in matching.matched_controls(d, ["s"], "k", "g", "p", {"x": 0.7, "y": 0.1}, 4).orderBy("rank").collect():
+        got.setdefault(r.positive, []).append((r.control, r.same_gene, r.reused))
+    want = {}
+    for s in draw:
+        want |= plain_matches([(k, g, p, hashlib.sha256(f"42|{k}".encode()).digest()[:4], (x, y)) for t, k, g, p, x, y in rows if s == t], (0.7, 0.1), 4)
+    assert got == {p: c for p, c in want.items() if c} and any(r for c in got.values() for _, _, r in c)
+
+
+def test_matching_lists_no_candidates():
+    import tracemalloc
+
+    import numpy as np
+
+    from strataframe.operators import matching
+
+    genes = np.arange(20_000) % 50
+    tracemalloc.start()
+    n = sum(len(c) for _, c, _, _ in matching.match_stratum(np.ones((3000, 1)), np.ones((20_000, 1)), genes[:3000], genes, np.array([0.5]), 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 15_000 and peak < 30e6  # listed candidates would take 480 MB
