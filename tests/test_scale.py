@@ -106,3 +106,21 @@ def test_matching_lists_no_candidates():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 15_000 and peak < 30e6  # listed candidates would take 480 MB
+
+
+def test_leave_one_out_multiplies_no_rows(spark, monkeypatch):
+    """Against fits of the rows multiplied by hand, with a cluster that is never left out, one without a name and a singular fit."""
+    from strataframe.operators import glm
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "c", None]), x := rng.gauss(0, 1), float(rng.random() < 1 / (1 + 2.7 ** (x - 0.3)))) for _ in range(200)] + [("z", 0.5, 0.0), ("y", None, 1.0)]
+    d = spark.createDataFrame(rows, "c string, x double, y double").withColumn("one", F.lit(1.0))
+    clusters = ["a", "b", "c", "y"]
+    many = d.withColumn("left_out", F.explode(F.array_except(F.array(*map(F.lit, clusters)), F.array("c"))))
+    want = {(r.left_out, r.term): r for r in glm.fit(many, ["left_out"], "y", ["one", "x"], "c").collect()}
+    exploded = []
+    monkeypatch.setattr(glm.F, "explode", lambda *a: exploded.append(a))
+    got = {(r.left_out, r.term): r for r in glm.leave_one_out(d, "y", ["one", "x"], "c", at_once=3).collect()}
+    assert got.keys() == want.keys() and len(got) == 8 and not exploded
+    for k, w in want.items():
+        assert (got[k].n, got[k].converged) == (w.n, w.converged) and got[k].estimate == pytest.approx(w.estimate, abs=1e-9) and got[k].se == pytest.approx(w.se, abs=1e-9)
