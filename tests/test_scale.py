@@ -124,3 +124,25 @@ def test_leave_one_out_multiplies_no_rows(spark, monkeypatch):
     assert got.keys() == want.keys() and len(got) == 8 and not exploded
     for k, w in want.items():
         assert (got[k].n, got[k].converged) == (w.n, w.converged) and got[k].estimate == pytest.approx(w.estimate, abs=1e-9) and got[k].se == pytest.approx(w.se, abs=1e-9)
+
+
+def test_draws_are_made_in_place(spark):
+    import hashlib
+
+    from strataframe.operators import auroc
+
+    rng = random.Random(6)
+    rows = [(g, f"{g}{i}", rng.random() < 0.4, float(rng.randint(0, 3)), rng.choice([0.0, 1.0, rng.random()])) for g in "ab" for i in range(60)]
+    d = spark.createDataFrame(rows, "g string, k string, p boolean, x double, score double")
+    frame = auroc.balanced_draws(d, F.col("p"), "x", ["g"], "k", 7, 42)
+    assert "explode" not in frame._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(r.g, r.replicate): r.auroc for r in frame.collect()}
+    bins = {(r.g, r.k): r.bin for r in auroc.decile_bins(d, "x", ["g"]).collect()}
+    for g in "ab":
+        pos, neg = ([(k, bins[g, k], s) for h, k, p, _, s in rows if h == g and p == side] for side in (True, False))
+        of = {b: sorted((k, s) for k, c, s in neg if c == b) for b in bins.values()}
+        pos = [p for p in pos if of[p[1]]]
+        for rep in range(1, 8):
+            drawn = [of[b][int.from_bytes(hashlib.sha256(f"42|{g}|{b}|{rep}|{k}".encode()).digest()[:4], "big") % len(of[b])][1] for k, b, _ in pos]
+            assert got[g, rep] == pytest.approx(sum((s > n) + (s == n) / 2 for n in drawn for _, _, s in pos) / len(pos) ** 2)
+    assert len(got) == 14
