@@ -146,3 +146,10 @@ def test_draws_are_made_in_place(spark):
             drawn = [of[b][int.from_bytes(hashlib.sha256(f"42|{g}|{b}|{rep}|{k}".encode()).digest()[:4], "big") % len(of[b])][1] for k, b, _ in pos]
             assert got[g, rep] == pytest.approx(sum((s > n) + (s == n) / 2 for n in drawn for _, _, s in pos) / len(pos) ** 2)
     assert len(got) == 14
+
+
+def test_gates_read_pairs_once(spark):
+    from strataframe import registry
+
+    plan = registry.QUERIES["gates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "row_number" not in plan
