@@ -1,6 +1,7 @@
 """Operators that must not list, hold or multiply all their rows, against brute force on small tables."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,44 @@ def test_gates_read_pairs_once(spark):
 
     plan = registry.QUERIES["gates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "row_number" not in plan
+
+
+def test_cube_repeats_no_rows(spark, monkeypatch):
+    import numpy as np
+
+    from strataframe.operators import cubes
+
+    def midranks(v):
+        _, of, n = np.unique(np.array(v) + 0.0, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[of]
+
+    rng = random.Random(12)
+    few = lambda: rng.choice([0.0, -0.0, 1.0, rng.random(), rng.gauss(0, 9)])
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), few(), few()) for _ in range(1500)] + [("a", "x", None, 1.0)]
+    stored = []
+    monkeypatch.setattr(cubes, "materialize", lambda d, label: stored.append(d) or d)
+    got = {(r.g1, r.g2): r for r in cubes.concordance(spark.createDataFrame(rows, "a string, b string, x double, y double"), "a", "b", "x", "y").collect()}
+    assert [d.count() for d in stored] == [1500]
+    want = {(g, h): [(x, y) for a, b, x, y in rows if x is not None and g in ("All", a) and h in ("All", b)] for g in ("All", "a", "b") for h in ("All", "x", "y")}
+    assert got.keys() == want.keys()
+    for k, xy in want.items():
+        assert got[k].n == len(xy) and got[k].spearman == pytest.approx(np.corrcoef(*map(midranks, zip(*xy)))[0, 1], abs=1e-9)
+
+
+def test_pairs_move_once(spark, tmp_path):
+    """Keys with nulls as the SQL's joined text has them; filters on the key come before rows move."""
+    import duckdb
+
+    from strataframe.plans import base
+
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    keys = [(5, 1, 7, 1), (5, 1, 7, 1), (5, 1, None, 7), (None, 7, 1, 5), (5, None, 7, 1), (6, 2, 3, 4), (6, 2, 3, 4), (None, None, None, None), (6, 9, None, None)]
+    spark.createDataFrame([(*k, 10.0 + i, 50.0 - i, 0.0, 0.0, "ANR"[i % 3], "O", datetime(2000, 1, 1 + i)) for i, k in enumerate(keys)], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, datetime(1999, 12, 1)) for k in (5, 6, None)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    sql = base.SCORED.replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'").replace("JOIN orders", f"JOIN '{tmp_path}/orders.parquet/*.parquet'")
+    want = duckdb.sql(sql + "SELECT pair_key, ancestry, maf, pip FROM scored").fetchall()
+    d = base.scored(spark, str(tmp_path))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(d.select("pair_key", "ancestry", "maf", "pip").collect()) == order(want) and len(want) == 4
+    plan = d.where("pip >= 0.5")._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in x and "POWER" in x.upper() for x in plan[plan.index("Window ") :].splitlines())
