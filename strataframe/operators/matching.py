@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType
 
 from ..functions.hashing import stable_u32
 from ..storage import materialize
@@ -163,50 +164,127 @@ def matched_controls(df: DataFrame, strata: list[str], key: str, gene: str, posi
     return m.select(*strata, "positive", "control", "rank", "same_gene", "reused")
 
 
-def nearest_pairs(df: DataFrame, strata: list[str], key: str, side: str, value: str, caliper: float) -> DataFrame:
+class Nearest:
+    """Greedy nearest matching of one stratum as a stream. Rows come from the largest value down, at equal values side 0 first
+    with its largest key, then side 1 by key. What is over a row of side 1 is a stack whose top is nearest, and the first free
+    row under it is the next to come; rows out of the caliper's reach are dropped, so only those within it are held."""
+
+    def __init__(self, caliper: float) -> None:
+        self.caliper, self.over, self.waiting, self.found = caliper, deque(), deque(), []
+
+    def _settle(self) -> None:
+        """The first waiting row takes what is over it, if that is near enough."""
+        v, row = self.waiting.popleft()
+        if self.over and self.over[-1][0] - v <= self.caliper:
+            w, other = self.over.pop()
+            self.found.append((row, other, w - v))
+
+    def add(self, value: float, treated: bool, row: tuple) -> None:
+        waiting, over, caliper = self.waiting, self.over, self.caliper
+        while waiting and waiting[0][0] - value > caliper:
+            self._settle()
+        while over and over[0][0] - value > caliper:
+            # Rows that wait are at or above the value, so they may still be near it.
+            if waiting and over[0][0] - waiting[0][0] <= caliper:
+                break
+            over.popleft()
+        if treated:
+            waiting.append((value, row))
+            return
+        while waiting:
+            v = waiting[0][0]
+            if over and over[-1][0] - v < v - value:
+                self._settle()
+                continue
+            self.found.append((waiting.popleft()[1], row, v - value))
+            return
+        over.append((value, row))
+
+    def end(self) -> list[tuple]:
+        while self.waiting:
+            self._settle()
+        return self.take()
+
+    def take(self) -> list[tuple]:
+        out, self.found = self.found, []
+        return out
+
+
+def nearest_pairs(df: DataFrame, strata: list[str], key: str, side: str, value: str, caliper: float, keep: list[str] | None = None) -> DataFrame:
     """1:1 greedy nearest matching without replacement within strata: from the largest value down, each row of side 1
-    takes the free row of side 0 that is nearest, ties by key."""
-    types = ", ".join(f"{s} {df.schema[s].dataType.simpleString()}" for s in strata)
-    kind = df.schema[key].dataType.simpleString()
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        free = sorted(zip(pdf[value][pdf[side] == 0], pdf[key][pdf[side] == 0]))
-        out = []
-        for r in pdf[pdf[side] == 1].sort_values([value, key], ascending=[False, True]).itertuples(index=False):
-            v = getattr(r, value)
-            i = bisect.bisect_left(free, (v,))
-            best = None
-            for j in (i - 1, i):
-                if 0 <= j < len(free) and (best is None or abs(free[j][0] - v) < abs(free[best][0] - v)):
-                    best = j
-            if best is not None and abs(free[best][0] - v) <= caliper:
-                out.append((*(pdf[s].iloc[0] for s in strata), getattr(r, key), free[best][1], abs(free[best][0] - v)))
-                del free[best]
-        return pd.DataFrame(out, columns=[*strata, "treated", "control", "gap"])
-
-    return df.select(*strata, key, side, value).groupBy(*strata).applyInPandas(match, f"{types}, treated {kind}, control {kind}, gap double")
-
-
-def hash_pairs(df: DataFrame, strata: list[str], key: str, side: str, seed: int = 3) -> DataFrame:
-    """1:1 matching at random without replacement: both sides are numbered by a hash within the stratum, equal numbers meet."""
+    takes the free row of side 0 that is nearest, ties by key. A stratum is one task's stream, sorted by Spark; rows without a
+    value match none. Columns to keep follow as <column>_treated and <column>_control."""
+    keep = keep or []
+    row = [key, *keep]
+    d = df.where(F.col(side).isin(0, 1) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    d = d.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col(value).cast("double").alias("_v"), (F.col(side) == 1).alias("_t"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate(row)])
+    own = [f"_s{i}" for i in range(len(strata))]
+    d = (d.repartition(*own) if own else d.repartition(1)).sortWithinPartitions(*own, F.col("_v").desc(), "_t", F.when(~F.col("_t"), F.col("_r0")).desc(), "_r0")
+    kinds = [(s, df.schema[s].dataType) for s in strata] + [(n, df.schema[key].dataType) for n in ("treated", "control")] + [("gap", DoubleType())]
+    kinds += [(f"{c}_{n}", df.schema[c].dataType) for c in keep for n in ("treated", "control")]
+    out = pa.schema([(n, to_arrow_type(t)) for n, t in kinds])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, Nearest(caliper)
+
+        def batch(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if found:
+                t, c, gap = zip(*found)
+                t, c = list(zip(*t)), list(zip(*c))
+                columns = [[v] * len(gap) for v in now or ()] + [t[0], c[0], gap] + [x for pair in zip(t[1:], c[1:]) for x in pair]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out)], schema=out)
+
+        for b in batches:
+            of = list(zip(*[c.to_pylist() for c in b.columns[: len(own)]])) if own else [()] * b.num_rows
+            v, t, *r = [c.to_pylist() for c in b.columns[len(own) :]]
+            # Few different values are held once.
+            r[1:] = [[one.setdefault(x, x) for x in c] for c, one in zip(r[1:], ({} for _ in keep))]
+            for s, x, side1, held in zip(of, v, t, zip(*r)):
+                if s != now:
+                    yield from batch(state.end())
+                    now, state = s, Nearest(caliper)
+                state.add(x, side1, held)
+            yield from batch(state.take())
+        yield from batch(state.end())
+
+    return d.mapInArrow(match, ", ".join(f"`{n}` {t.simpleString()}" for n, t in kinds))
+
+
+def hash_pairs(df: DataFrame, strata: list[str], key: str, side: str, seed: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """1:1 matching at random without replacement: both sides are numbered by a hash within the stratum, equal numbers meet.
+    Rows move once, to the stratum's task; columns to keep follow as <column>_treated and <column>_control."""
+    keep = [c for c in keep or [] if c not in strata]
+    d = df.where(F.col(side).isin(0, 1)).select(*strata, key, side, *keep)
+    for s in strata:
+        d = d.where(F.col(s).isNotNull())
+    d = d.repartition(*strata) if strata else d.repartition(1)
     order = W.partitionBy(*strata, side).orderBy(stable_u32(F.concat_ws("|", F.lit(seed), F.col(key))), key)
-    d = df.select(*strata, key, side).withColumn("_i", F.row_number().over(order))
-    return d.where(F.col(side) == 1).select(*strata, "_i", F.col(key).alias("treated")).join(d.where(F.col(side) == 0).select(*strata, "_i", F.col(key).alias("control")), [*strata, "_i"]).drop("_i")
+    d = d.withColumn("_i", F.row_number().over(order))
+    # Of a pair, side 1 follows side 0.
+    before = W.partitionBy(*strata, "_i").orderBy(side)
+    d = d.withColumns({f"_c{n}": F.lag(c).over(before) for n, c in enumerate([key, *keep])}).withColumn("_both", F.count(F.lit(1)).over(before) == 2)
+    more = [x for n, c in enumerate(keep, 1) for x in (F.col(c).alias(f"{c}_treated"), F.col(f"_c{n}").alias(f"{c}_control"))]
+    return d.where(F.col("_both") & (F.col(side) == 1)).select(*strata, "_i", F.col(key).alias("treated"), F.col("_c0").alias("control"), *more).drop("_i")
 
 
-def ablation(df: DataFrame, sets: dict[str, tuple[list[str], bool]], key: str, side: str, value: str, caliper: float) -> DataFrame:
+def ablation(df: DataFrame, sets: dict[str, tuple[list[str], bool]], key: str, side: str, value: str, caliper: float, keep: list[str] | None = None) -> DataFrame:
     """covariates, treated, control, gap: the same rows matched under each set of (exact strata, whether value must be near).
-    With value the nearest free row within the caliper is taken, else a random one of the stratum."""
+    With value the nearest free row within the caliper is taken, else a random one of the stratum. Rows are stored once for
+    all sets; columns to keep come along as <column>_treated and <column>_control, so that no pair has to be joined with them."""
+    keep, columns = keep or [], []
+    for c in [key, side, value, *(keep or []), *[s for strata, _ in sets.values() for s in strata]]:
+        columns += [c] if c not in columns else []
+    df = materialize(df.select(*columns), "ablation")
+    ends = [f"{c}_{n}" for c in keep for n in ("treated", "control")]
     parts = []
     for name, (strata, near) in sets.items():
-        by, d = (strata, df) if strata else (["_all"], df.withColumn("_all", F.lit(1)))
         if near:
-            m = nearest_pairs(d, by, key, side, value, caliper).select("treated", "control", "gap")
+            m = nearest_pairs(df, strata, key, side, value, caliper, keep).select("treated", "control", "gap", *ends)
         else:
-            v = df.select(F.col(key), F.col(value).alias("_v"))
-            m = hash_pairs(d, by, key, side).join(v.select(F.col(key).alias("treated"), F.col("_v").alias("_t")), "treated").join(v.select(F.col(key).alias("control"), F.col("_v").alias("_c")), "control").select("treated", "control", F.abs(F.col("_t") - F.col("_c")).alias("gap"))
+            m = hash_pairs(df, strata, key, side, keep=list(dict.fromkeys([value, *keep])))
+            both = lambda c: [F.col(c if c in strata else f"{c}_{n}").alias(f"{c}_{n}") for n in ("treated", "control")]  # noqa: E731, B023
+            gap = F.abs(F.col(f"{value}_treated") - F.col(f"{value}_control")) if value not in strata else F.lit(0.0)
+            m = m.select("treated", "control", gap.alias("gap"), *[x for c in keep for x in both(c)])
         parts.append(m.select(F.lit(name).alias("covariates"), "*"))
     out = parts[0]
     for m in parts[1:]:

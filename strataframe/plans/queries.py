@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, hashing, keys, stats
 from ..operators import auroc, contracts, cubes, glm, intervals, linkage, matching, ranks, regress, select
+from ..storage import materialize
 from .base import SCORED, scored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,11 +415,10 @@ def covariate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sets of matching covariates over the same positives, with what each leaves unbalanced."""
     d = scored(spark, sf_dir).where("pip >= 0.5 and ancestry <> 'NHW'").select("tss_bin", "maf_bin", "pair_key", (F.col("ancestry") == "AA").cast("int").alias("side"), F.abs("alphagenome").alias("z"))
     sets = {"tss_only": (["tss_bin"], False), "tss_maf": (["tss_bin", "maf_bin"], False), "tss_z": (["tss_bin"], True), "z_only": ([], True), "tss_maf_z": (["tss_bin", "maf_bin"], True)}
-    m = matching.ablation(d, sets, "pair_key", "side", "z", 0.05)
-    side = lambda s: d.select(F.col("pair_key").alias(s), F.col("tss_bin").alias(f"tss_{s}"), F.col("maf_bin").alias(f"maf_{s}"))
-    both = m.join(side("treated"), "treated").join(side("control"), "control")
-    near = lambda c: r(F.avg((F.col(c) == "0-3kb").cast("double")), f"near_{c[4:]}")
-    return both.groupBy("covariates").agg(F.count(F.lit(1)).alias("pairs"), r(F.percentile("gap", F.lit(0.5)), "median_gap"), near("tss_treated"), near("tss_control"), r(F.avg((F.col("maf_control") == "<0.05").cast("double")), "rare_control"))
+    both = matching.ablation(d, sets, "pair_key", "side", "z", 0.05, ["tss_bin", "maf_bin"])
+    both = materialize(both.select("covariates", "gap", *[(F.col(f"{c}_{n}") == v).cast("double").alias(f"{a}_{n}") for a, c, v, n in (("near", "tss_bin", "0-3kb", "treated"), ("near", "tss_bin", "0-3kb", "control"), ("rare", "maf_bin", "<0.05", "control"))]), "ablation-pairs")
+    out = both.groupBy("covariates").agg(F.count(F.lit(1)).alias("pairs"), *[r(F.avg(c), c) for c in ("near_treated", "near_control", "rare_control")]).join(ranks.median(both, ["covariates"], "gap", "median_gap"), "covariates")
+    return out.select("covariates", "pairs", r("median_gap"), "near_treated", "near_control", "rare_control")
 
 
 @query("SELECT ancestry, tss_bin, round(avg(maf) FILTER (pip >= 0.5), 6) AS mean_1, round(avg(maf) FILTER (pip < 0.5), 6) AS mean_0, round((avg(maf) FILTER (pip >= 0.5) - avg(maf) FILTER (pip < 0.5)) / sqrt((var_samp(maf) FILTER (pip >= 0.5) + var_samp(maf) FILTER (pip < 0.5)) / 2), 6) AS smd FROM scored GROUP BY 1, 2")

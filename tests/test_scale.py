@@ -195,3 +195,63 @@ def test_pairs_move_once(spark, tmp_path):
     assert order(d.select("pair_key", "ancestry", "maf", "pip").collect()) == order(want) and len(want) == 4
     plan = d.where("pip >= 0.5")._jdf.queryExecution().optimizedPlan().toString()
     assert any("Filter" in x and "POWER" in x.upper() for x in plan[plan.index("Window ") :].splitlines())
+
+
+def plain_nearest(rows, caliper):
+    """(key, side, value) -> pairs, with all free rows listed."""
+    free, out = [r for r in rows if not r[1]], set()
+    for k, _, v in sorted((r for r in rows if r[1]), key=lambda r: (-r[2], r[0])):
+        # Below before above at equal gaps; of equal values the largest key below, the smallest above.
+        under = max(((x, c) for c, _, x in free if x < v), default=None)
+        over = min(((x, c) for c, _, x in free if x >= v), default=None)
+        best = over if under is None or over is not None and over[0] - v < v - under[0] else under
+        if best is not None and abs(best[0] - v) <= caliper:
+            out.add((k, best[1]))
+            free = [r for r in free if r[0] != best[1]]
+    return out
+
+
+def test_nearest_pairs_stream(spark, monkeypatch):
+    from strataframe.operators import matching
+
+    rng = random.Random(9)
+    draw = {"few": lambda: rng.randint(0, 12) / 8, "any": rng.random, "sparse": lambda: 40 * rng.random(), None: rng.random}
+    rows = [(s, f"{s}{i:03}", int(rng.random() < share), f(), rng.choice(["u", "w", None])) for n, (s, f) in enumerate(draw.items()) for i, share in enumerate([(0.5, 0.2, 0.7, 0.4)[n]] * 200)]
+    rows += [("any", "none", 1, None, "u"), ("any", "nan", 0, float("nan"), "u")]
+    d = spark.createDataFrame(rows, "s string, k string, side int, v double, more string").repartition(5)
+    want = {s: plain_nearest([(k, t, v) for x, k, t, v, _ in rows if x == s and v is not None and v == v], 0.125) for s in draw}
+    more = {r[1]: r[4] for r in rows}
+    got = {s: set() for s in draw}
+    for r in matching.nearest_pairs(d, ["s"], "k", "side", "v", 0.125, ["more"]).collect():
+        got[r.s].add((r.treated, r.control))
+        assert (r.more_treated, r.more_control) == (more[r.treated], more[r.control])
+    assert got == want and all(want.values())
+    stored = []
+    monkeypatch.setattr(matching, "materialize", lambda d, label: stored.append(label) or d)
+    out = matching.ablation(d, {"s": (["s"], False), "z": ([], True), "sz": (["s"], True)}, "k", "side", "v", 0.125, ["more"])
+    pairs = {n: {(r.treated, r.control) for r in out.where(F.col("covariates") == n).collect()} for n in ("z", "sz")}
+    assert stored == ["ablation"] and pairs["sz"] == set().union(*want.values())
+    assert pairs["z"] == plain_nearest([(k, t, v) for _, k, t, v, _ in rows if v is not None and v == v], 0.125)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan
+
+
+def test_nearest_holds_rows_in_reach():
+    from strataframe.operators import matching
+
+    m, most = matching.Nearest(0.01), 0
+    for i in range(100_000):
+        m.add(1 - i / 100_000, i % 3 == 0, (i,))
+        most = max(most, len(m.over) + len(m.waiting))
+    assert most < 1100 and len(m.end()) == 33_334
+
+
+def test_medians(spark):
+    import statistics
+
+    from strataframe.operators import ranks
+
+    rng = random.Random(5)
+    of = {"one": [2.0], "two": [1.0, 4.0], "same": [3.0] * 50, "many": [rng.random() for _ in range(3001)], "even": [rng.choice([0.0, 1.0, rng.random()]) for _ in range(4000)]}
+    d = spark.createDataFrame([(g, x) for g, v in of.items() for x in [*v, None]], "g string, x double")
+    assert {r.g: r.m for r in ranks.median(d, ["g"], "x", "m").collect()} == pytest.approx({g: statistics.median(v) for g, v in of.items()})
