@@ -231,6 +231,21 @@ def test_word_pairs_against_brute_force(spark, shard_bytes):
         assert got[i][1] == len(t.split()) and got[i][0] == pytest.approx(want[i][0], rel=1e-6)
 
 
+def test_word_scores_keeps_workers_in_one_pool_and_batches_small(spark):
+    common.lean_python(spark)
+
+    def check(batches):
+        assert "SPARK_SIMPLIFIED_TRACEBACK" not in os.environ, "a second pool of workers"
+        for b in batches:
+            assert b.num_rows <= 512, f"a batch of {b.num_rows} rows"
+            yield b
+
+    d = spark.range(0, 2000, 1, 1).selectExpr("id as row", "'en' as lang", "concat('some words of ', id) as text", "true as teaches").mapInArrow(check, "row long, lang string, text string, teaches boolean")
+    scored, _ = word_model.word_scores(d)
+    assert scored.count() == 2000
+    assert not any(spark.sparkContext.getLocalProperty(x) for x in (common._BATCH, common._TRACEBACK))
+
+
 def test_lossy_counts():
     rng = np.random.default_rng(6)
     stream = np.concatenate([rng.integers(10, 5000, 20_000), np.repeat([1, 2, 3], [900, 600, 50])]).astype(np.uint64)
