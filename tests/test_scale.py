@@ -255,3 +255,26 @@ def test_medians(spark):
     of = {"one": [2.0], "two": [1.0, 4.0], "same": [3.0] * 50, "many": [rng.random() for _ in range(3001)], "even": [rng.choice([0.0, 1.0, rng.random()]) for _ in range(4000)]}
     d = spark.createDataFrame([(g, x) for g, v in of.items() for x in [*v, None]], "g string, x double")
     assert {r.g: r.m for r in ranks.median(d, ["g"], "x", "m").collect()} == pytest.approx({g: statistics.median(v) for g, v in of.items()})
+
+
+def test_balanced_grid_repeats_no_rows(spark, monkeypatch):
+    """Against the draws of each score and cell alone; with ties, a missing distance, bins without negatives and an empty cell."""
+    from strataframe.operators import auroc
+
+    rng = random.Random(9)
+    rows = [(g, f"{g}{i:03d}", rng.random(), rng.choice([None, 0.0, 1.0, 2.0, rng.random() * 3]), rng.choice([0.0, 1.0, rng.random()]), rng.random()) for g in "ab" for i in range(90)]
+    rows += [("a", f"z{i}", 0.95, 50.0, rng.random(), 0.5) for i in range(30)] + [("a", "none", None, 1.0, 0.1, 0.1)]
+    d = spark.createDataFrame(rows, "g string, k string, v double, x double, one double, two double")
+    v = F.col("v")
+    cells = {(0.5, "low"): (v >= 0.5, v < 0.2), (0.8, "rest"): (v >= 0.8, (v >= 0.2) & (v < 0.8)), (2.0, "rest"): (v >= 2, v < 0.5)}
+    want = {}
+    for i, ((t, m), (pos, neg)) in enumerate(cells.items()):
+        for s in ("one", "two"):
+            c = d.where(pos | neg).select("g", "k", "v", "x", F.col(s).alias("score"), F.lit(s).alias("tool"), F.lit(t).alias("t"), F.lit(m).alias("m"))
+            want |= {(r.g, s, i, r.replicate): r.auroc for r in auroc.balanced_draws(c, pos, "x", ["g", "tool", "t", "m"], "k", 5).collect()}
+    exploded = []
+    monkeypatch.setattr(auroc.F, "explode", lambda *a: exploded.append(a))
+    monkeypatch.setattr(auroc, "materialize", lambda df, *a: df if exploded.append(df.count()) is None else df)
+    got = {(r.g, r.score, r.cell, r.replicate): r.auroc for r in auroc.balanced_grid(d, cells, "x", ["g"], "k", ["one", "two"], 5, rows=50).collect()}
+    assert got.keys() == want.keys() and len(got) == 40 and all(got[k] == pytest.approx(w, abs=1e-12) for k, w in want.items())
+    assert exploded == [len([r for r in rows if r[2] is not None])]  # rows are stored once
