@@ -278,3 +278,73 @@ def test_balanced_grid_repeats_no_rows(spark, monkeypatch):
     got = {(r.g, r.score, r.cell, r.replicate): r.auroc for r in auroc.balanced_grid(d, cells, "x", ["g"], "k", ["one", "two"], 5, rows=50).collect()}
     assert got.keys() == want.keys() and len(got) == 40 and all(got[k] == pytest.approx(w, abs=1e-12) for k, w in want.items())
     assert exploded == [len([r for r in rows if r[2] is not None])]  # rows are stored once
+
+
+def plain_pool(rows, calipers, scales, k, pool, key):
+    """Rows of (key, gene, positive, covariates) of one stratum -> {positive: controls}, with all candidates listed and sorted."""
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.RandomState(np.frombuffer(hashlib.sha256(key.encode()).digest(), ">u4").astype(np.uint32))
+    rows = sorted(rows)
+    near = {}
+    for p in (r for r in rows if r[2]):
+        gaps = [(c, [abs(a - b) for a, b in zip(c[3], p[3])]) for c in rows if not c[2] and None not in c[3]]
+        near[p[0]] = [c for _, _, c in sorted((sum(g / s for g, s in zip(gap, scales)), c[0], c) for c, gap in gaps if all(g <= z for g, z in zip(gap, calipers)))]
+    of, races, used, out = {r[0]: r for r in rows}, [], set(), {}
+    uniform = dict(zip(near, rng.random_sample(len(near))))
+
+    def pick(found, n):
+        nonlocal races
+        found = found[: max(pool, n)]
+        if len(found) <= n:
+            return found
+        if len(races) < len(found):
+            races = (-np.log1p(-rng.random_sample(1 << 14))).tolist()
+        return [c for _, c in sorted((races.pop() * (i + 1.0) ** 2, c) for i, c in enumerate(found))[:n]]
+
+    for p in sorted(near, key=lambda p: (len(near[p]), uniform[p])):
+        all_, chosen = [c[0] for c in near[p]], []
+        same = [c for c in all_ if of[c][1] == of[p][1]]
+        for candidates, again in ((same, False), (all_, False), (same, True), (all_, True)):
+            if len(chosen) < k:
+                chosen = chosen + pick([c for c in candidates if c not in chosen and (again or c not in used)], k - len(chosen))
+        out[p] = [(c, of[c][1] == of[p][1], c in used) for c in chosen]
+        used |= set(chosen)
+    return out
+
+
+def test_nearest_pool_against_listed_candidates(spark):
+    from strataframe.operators import matching
+
+    rng = random.Random(12)
+    draw = {"few": lambda: (rng.choice([0.0, 0.5, 1.0, 1.75]), rng.choice([0.25, 0.5, None])), "any": lambda: (rng.random() * 4, rng.random())}
+    rows = [(s, f"{s}{i}", rng.choice([1, 2, 3]), rng.random() < 0.25, *f()) for s, f in draw.items() for i in range(160)]
+    rows = [r if not r[3] or r[5] is not None else (*r[:5], 0.5) for r in rows]
+    d = spark.createDataFrame([*rows, (None, "lost", 1, True, 1.0, 0.5)], "s string, k string, g int, p boolean, x double, y double")
+    got, want = {}, {}
+    for r in matching.nearest_pool_controls(d, ["s"], "k", "g", "p", {"x": (0.75, 0.2), "y": (0.25, 0.02)}, 4, 6, 5, at_once=2, batch=8).orderBy("rank").collect():
+        got.setdefault((r.iteration, r.positive), []).append((r.control, r.same_gene, r.reused))
+    for s in draw:
+        for i in range(5):
+            own = [(k, g, p, (x, y)) for t, k, g, p, x, y in rows if t == s]
+            want |= {(i, p): c for p, c in plain_pool(own, (0.75, 0.25), (0.2, 0.02), 4, 6, f"42|{i}|{s}").items() if c}
+    assert got == want and any(r for c in got.values() for _, _, r in c)
+    assert got != {(i, p): got[0, p] for i, p in got}  # iterations differ
+
+
+def test_nearest_pool_weights_and_query(spark):
+    """The nearest of twelve is drawn with 1 / (1 + 1/4 + ... + 1/144), the thirteenth never; the query makes all iterations of ten."""
+    import numpy as np
+
+    from strataframe import registry
+    from strataframe.operators import matching
+
+    con = np.arange(1, 21)[:, None] / 100.0
+    m = matching.NearestPool(np.zeros((1, 1)), con, np.array([0]), np.full(20, 1), np.array([1.0]), np.array([0.1]), 1, 12)
+    drawn = np.bincount([c[0] for i in range(4000) for _, c, _, _ in m.iteration(f"x|{i}")], minlength=20) / 4000
+    want = 1 / np.arange(1, 13) ** 2.0
+    assert not drawn[12:].any() and np.abs(drawn[:12] - want / want.sum()).max() < 0.03
+    r = registry.QUERIES["control_matching"](spark, "/root/testdata/sf0.001").selectExpr("count(distinct iteration) n", "max(rank) m", "min(iteration) a", "max(iteration) z").first()
+    assert (r.n, r.m, r.a, r.z) == (100, 10, 0, 99)
