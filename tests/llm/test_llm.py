@@ -753,3 +753,8 @@ def test_stages(spark, odd, docs):
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert rows and all(x.length <= 1024 for x in rows)
+
+
+def test_token_counts_do_not_depend_on_the_sample(spark, docs):
+    want = {x.doc_id: x.n_tokens for x in token_counts.count_tokens(docs).collect()}
+    assert {x.doc_id: x.n_tokens for x in token_counts.count_tokens(docs, sample_docs=1, entries=1).collect()} == want
