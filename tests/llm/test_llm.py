@@ -231,6 +231,60 @@ def test_word_pairs_against_brute_force(spark, shard_bytes):
         assert got[i][1] == len(t.split()) and got[i][0] == pytest.approx(want[i][0], rel=1e-6)
 
 
+@pytest.mark.parametrize("share", [2.0**-16, 0.3])
+def test_every_word_has_its_continuation_count(spark, monkeypatch, share):
+    # A share of 0.3 leaves next to no frequent words; the others are counted over all shards and not cut, however few words they follow.
+    monkeypatch.setattr(word_model, "LEAST_SHARE", share)
+    rng = np.random.default_rng(12)
+    texts = [*some_texts(), *(" ".join(f"w{k}" for k in rng.geometric(0.02, 50)) for _ in range(30))]
+    pairs = [list(zip(["", *t.lower().split()], t.lower().split())) for t in texts]
+    count = collections.Counter(p for own in pairs for p in own)
+    before, d = collections.Counter(w for _, w in count), kneser_ney.discounts([float(sum(n == k for n in count.values())) for k in range(1, 5)])
+    mass = {w: (n - d[min(n, 3)]) / len(count) for w, n in before.items()}
+    left = 1 - sum(mass.values())
+    total, taken = collections.Counter(), collections.Counter()
+    for (v, _), n in count.items():
+        total[v] += n
+        taken[v] += d[min(n, 3)]
+    data = spark.createDataFrame([(i, "en", t, True) for i, t in enumerate(texts)], "row long, lang string, text string, teaches boolean").repartition(3)
+    scored, shared = word_model.word_scores(data, 200, least=1)
+    known = shared.value["en"]
+    assert (len(known.level) < 10) == (share == 0.3) and {1, 2, 3} <= set(before.values()) and known.left == pytest.approx(left)
+    words = sorted(before)
+    raw, offsets = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *(len(w.encode()) for w in words)])
+    h = word_model.short(word_model.words_of(raw, offsets)[3])
+    assert known.lower(h, np.zeros(len(h)))[0] == pytest.approx([mass[w] for w in words]) and not known.lower(h ^ np.uint64(1 << 20), np.zeros(len(h)))[0].any()
+    got = {r.row: r.log2p for r in scored.collect()}
+    spelled = dict(zip(words, np.round(-word_model.STEPS * known.model.words(raw, offsets[:-1], offsets[1:])) / -word_model.STEPS))
+    for i, own in enumerate(pairs):
+        here, want = collections.Counter(own), 0.0
+        for v, w in own:
+            n, c, rest = count[v, w], count[v, w] - here[v, w], total[v] - here[v, w]
+            weight = min(1.0, (taken[v] - d[min(n, 3)] + d[min(c, 3)]) / rest) if rest else 1.0
+            want += np.log2((c - d[min(c, 3)]) / max(rest, 1) + weight * (mass[w] + left * 2.0 ** spelled[w]))
+        assert got[i] == pytest.approx(want, rel=1e-6)
+
+
+def test_rare_words_of_a_large_corpus_count(spark):
+    # 300,000 words put the former bar, 2^-16 of all, at 4.6: a word after four different ones had no count of its own.
+    texts = [" ".join(["the"] * 3000)] * 100 + [f"{v} quux" for v in ("one", "two", "three", "four")] + ["once alone"]
+    d = spark.createDataFrame([(i, "en", t, True) for i, t in enumerate(texts)], "row long, lang string, text string, teaches boolean")
+    _, shared = word_model.word_scores(d)
+    h = word_model.short(word_model.words_of(np.frombuffer(b"quux alone", np.uint8), np.array([0, 10]))[3])
+    known = shared.value["en"]
+    assert known.lower(h, np.zeros(2))[0] == pytest.approx([(4 - known.discounts[3]) / 12, 0])  # 12 different pairs
+
+
+def test_compact_counts():
+    rng = np.random.default_rng(13)
+    words = np.unique(np.concatenate([rng.integers(1, 1 << 32, 3000), rng.integers(7 << 16, 8 << 16, 500), [1, (1 << 32) - 1]]).astype(np.uint64))
+    counts = rng.choice([1, 2, 3, 254, 255, 256, 70_000], len(words))
+    c, asked = word_model.Counts(words, counts), np.concatenate([words[::-1], rng.integers(1, 1 << 32, 1000).astype(np.uint64), [7 << 16, (8 << 16) - 1]]).astype(np.uint64)
+    want = dict(zip(words.tolist(), counts.tolist()))
+    assert c.of(asked).tolist() == [want.get(x, 0) for x in asked.tolist()]
+    assert word_model.Counts(words[:0], counts[:0]).of(words[:3]).tolist() == [0, 0, 0] and len(c.of(words[:0])) == 0
+
+
 def test_word_scores_keeps_workers_in_one_pool_and_batches_small(spark):
     common.lean_python(spark)
 
