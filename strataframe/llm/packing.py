@@ -11,6 +11,7 @@ one piece of work and cut; columns of other names are left out; an empty table g
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, texts_of, tidy
-from .token_counts import MARKS, load
+from .token_counts import load
 
 
 def alike(name: str) -> bool:
@@ -36,16 +37,14 @@ def alike(name: str) -> bool:
     return None not in ids and ids == sorted(ids)
 
 
-class PieceIds(dict):
-    """' word' -> its ids as little-endian bytes. A text may be cut before any single space that stands before a
-    character that is not white space: the pattern of byte-level BPE begins a new pre-token there in any context.
-    Misses are encoded by tiktoken from the same vocabulary and merge order, some twenty times faster than the library
-    does short strings, if alike() says that both do the same; the first `verify` of each worker are
-    compared with the library. Where either fails, the library encodes whole texts."""
+class PieceIds:
+    """Text -> its ids as little-endian bytes. tiktoken encodes whole texts from the same vocabulary and merge order, many times
+    faster than the library, if alike() says that both do the same; the first `verify` texts of each worker are compared with
+    the library. Where either fails, the library encodes, as it does texts that may hold added tokens or stop tiktoken's
+    pattern (runs of white space by the million)."""
 
-    def __init__(self, name: str, most: int, same: bool, verify: int = 200):
-        super().__init__()
-        self.most, self.verify, self.tokenizer = most, verify, load(name)
+    def __init__(self, name: str, verify: int, same: bool):
+        self.verify, self.tokenizer = verify, load(name)
         self.fast = self._fast() if same else None
 
     def _fast(self):
@@ -62,31 +61,27 @@ class PieceIds(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        word = piece.rstrip(MARKS)
-        if word != piece and word and word[-1].isalnum():
-            ids = self[word] + self[piece[len(word) :]]
-        else:
-            ids = np.array(self.fast.encode_ordinary(piece), "<u4").tobytes()
-        if self.verify:
-            self.verify -= 1
-            if ids != self.whole(piece):
-                raise LookupError(piece)
-        if len(piece) <= 64 and len(self) < self.most:
-            self[piece] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        if self.fast is None or "<|" in text or text[-1:].isspace() or any(not p or p[0].isspace() for p in rest):
+        if self.fast is None or "<|" in text:
             return self.whole(text)
-        get = self.__getitem__
         try:
-            return b"".join([get(head), *map(get, [" " + p for p in rest])])
-        except LookupError:  # the encoders differ
-            self.clear()
-            self.fast = None
+            ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # tiktoken's, and no subclass of Exception
+                raise
             return self.whole(text)
+        if self.verify:
+            self.verify -= 1
+            if ids != (known := self.whole(text)):  # the encoders differ
+                self.fast = None
+                return known
+        return ids
+
+
+@functools.lru_cache(1)
+def encoder(name: str, verify: int, same: bool) -> PieceIds:
+    """One for all tasks of a worker."""
+    return PieceIds(name, verify, same)
 
 
 class Capacities:
@@ -136,17 +131,17 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = 100_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", verify: int = 200) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     same = alike(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, encoder = np.array([end_id], "<u4").tobytes(), None
+        end = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "text"):
-            encoder = encoder or PieceIds(tokenizer, cache, same)
+            encode = encoder(tokenizer, verify, same).encode
             rows: list[list] = [[], [], [], [], []]
             for doc, raw in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                ids = encoder.encode(raw.decode()) + end if raw else end
+                ids = encode(raw.decode()) + end if raw else end
                 total = len(ids) // 4
                 first = total - (total - 1) // capacity * capacity
                 for i, (a, z) in enumerate(zip([0, *range(first, total, capacity)], range(first, total + 1, capacity))):

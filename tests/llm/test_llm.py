@@ -538,6 +538,23 @@ def test_encoders_that_differ(monkeypatch):
     assert packing.PieceIds("byte_bpe_50k.json", 100, False).encode(text) == want
 
 
+def test_whole_texts_are_encoded_at_once():
+    r = random.Random(14)
+    pool = [*" \n\t\r\x0b\x1c\x85\u00a0\u2003\u3000", *"abcde'stm1290.,!?-", *"éßжя中文ก็\u0301😀²½Ⅷ", "'re", "  "]
+    texts = [*(t for t in ODD if t and "<|" not in t), *("".join(r.choices(pool, k=r.randint(1, 120))) for _ in range(2000))]
+    e = packing.PieceIds("byte_bpe_50k.json", 0, True)
+    want = list(map(e.whole, texts))
+
+    def slow(text):
+        raise AssertionError("the library encoded a text that tiktoken can")
+
+    e.whole = slow
+    assert [e.encode(t) for t in texts] == want
+    # White space by the million stops tiktoken's pattern; the library encodes such a text, tiktoken the next.
+    e = packing.PieceIds("byte_bpe_50k.json", 0, True)
+    assert e.encode(" " * 1_500_000 + "a") == e.whole(" " * 1_500_000 + "a") and e.fast is not None
+
+
 # op5
 
 
